@@ -130,21 +130,21 @@ class PopulationScalerModel(_Stage, Model):
 
 
 class ClassDecoder(_Stage, Transformer):
-    """Turns the class number in ``prediction`` back into the label value."""
+    """Adds ``predicted``: the label value behind the class number in ``prediction``."""
 
     classes = Param(Params._dummy(), "classes", "labels in ascending order")
-    outputCol = Param(Params._dummy(), "outputCol", "name of the decoded column")
+    labelType = Param(Params._dummy(), "labelType", "SQL type of the labels")
 
     @keyword_only
-    def __init__(self, classes=None, outputCol=None):
+    def __init__(self, classes=None, labelType=None):
         super().__init__()
-        self._setDefault(classes=[], outputCol="predicted")
         self._fill(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         labels = F.array(*[F.lit(c) for c in self.value("classes")])
         place = F.col("prediction").cast("int") + 1
-        return df.withColumn(self.value("outputCol"), F.element_at(labels, place))
+        label = F.element_at(labels, place).cast(self.value("labelType"))
+        return df.withColumn("predicted", label)
 
 
 def route_columns(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:

@@ -190,12 +190,16 @@ def probability_losses(
     )
 
 
-def _score_counts(rows: DataFrame, group: Column, score: Column, positive: Column) -> DataFrame:
-    """(grp, score, pos, neg, bucket): rows folded per score, scores cut into ranges.
+def _score_counts(
+    rows: DataFrame, group: Column, score: Column, positive: Column
+) -> tuple[DataFrame, bool]:
+    """(grp, score, pos, neg, bucket) with rows folded per score, and whether the scores
+    are cut into several buckets.
 
     Scores are folded before any ordering, so a score shared by many rows costs
-    nothing. The cut points come from a sketch and are plain constants, which keeps
-    the bucket of a score the same in every use and after any task retry.
+    nothing. Few distinct scores stay in one bucket. Otherwise the cut points come from
+    a sketch and are plain constants, which keeps the bucket of a score the same in
+    every use and after any task retry.
     """
     flat = rows.select(
         group.alias("grp"), score.cast("double").alias("score"), positive.alias("positive")
@@ -205,17 +209,18 @@ def _score_counts(rows: DataFrame, group: Column, score: Column, positive: Colum
         F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
     if distinct <= ONE_BUCKET_SCORES:
-        return folded.withColumn("bucket", F.lit(0.0))
+        return folded.withColumn("bucket", F.lit(0.0)), False
     buckets = min(MAX_BUCKETS, math.ceil(distinct / SCORES_PER_BUCKET))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = flat.agg(F.percentile_approx("score", shares, 4 * buckets)).first()[0]
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    return Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(folded)
+    cutter = Bucketizer(splits=splits, inputCol="score", outputCol="bucket")
+    return cutter.transform(folded), True
 
 
 def auc_by_group(rows: DataFrame, group: Column, score: Column, positive: Column) -> DataFrame:
     """(grp, auc): share of (positive, negative) pairs ordered right, ties half."""
-    counts = _score_counts(rows, group, score, positive)
+    counts, _ = _score_counts(rows, group, score, positive)
     below = Window.partitionBy("grp", "bucket").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -262,7 +267,20 @@ def roc_auc(
 
 def curve_points(scored: DataFrame, score: Column, positive: Column) -> DataFrame:
     """(threshold, tp, fp, pos_total, neg_total) for each distinct score."""
-    counts = _score_counts(scored, F.lit(1), score, positive)
+    counts, several = _score_counts(scored, F.lit(1), score, positive)
+    inside = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    points = counts.select(
+        "bucket",
+        F.col("score").alias("threshold"),
+        F.sum("pos").over(inside).alias("tp"),
+        F.sum("neg").over(inside).alias("fp"),
+        F.sum("pos").over(Window.partitionBy("bucket")).alias("pos_total"),
+        F.sum("neg").over(Window.partitionBy("bucket")).alias("neg_total"),
+    )
+    if not several:
+        return points.drop("bucket")
     sums = counts.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     everything = Window.partitionBy(F.lit(1))
     higher = everything.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -273,16 +291,12 @@ def curve_points(scored: DataFrame, score: Column, positive: Column) -> DataFram
         F.sum("bp").over(everything).alias("pos_total"),
         F.sum("bn").over(everything).alias("neg_total"),
     )
-    inside = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
     # At most MAX_BUCKETS rows of offsets.
     return (
-        counts.withColumn("tp", F.sum("pos").over(inside))
-        .withColumn("fp", F.sum("neg").over(inside))
+        points.drop("pos_total", "neg_total")
         .join(F.broadcast(offsets), "bucket")
         .select(
-            F.col("score").alias("threshold"),
+            "threshold",
             (F.col("tp") + F.col("tp0")).alias("tp"),
             (F.col("fp") + F.col("fp0")).alias("fp"),
             "pos_total",

@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from sparktab.operators import features, metrics, prep, profile, split
+from pyspark.sql import types as T
+
+from sparktab.functions import scalars
+from sparktab.operators import (
+    diagnostics,
+    features,
+    knn,
+    metrics,
+    prep,
+    profile,
+    runs,
+    scoring,
+    split,
+    tuning,
+)
 from sparktab.plans import fixtures as fx
+from sparktab.plans import workflows
 from sparktab.session import scratch_path
-from sparktab.sources import delimited, reports
+from sparktab.sources import delimited, records, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,3 +342,408 @@ def design_matrix(spark, sf):
 @query
 def design_matrix_unscaled(spark, sf):
     return _slots(spark, sf, fx.FEATURES, scale=False)
+
+
+# Run log, on orders recast as runs.
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select(
+        "run_id",
+        "algorithm",
+        "dataset_version",
+        "session_id",
+        "optimize_metric",
+        "source",
+        F.col("hyperparameters")["max_depth"].alias("max_depth"),
+        F.size("hyperparameters").alias("n_parameters"),
+        F.col("metrics.accuracy").alias("accuracy"),
+        F.col("metrics.f1").alias("f1"),
+        F.col("metrics.roc_auc").alias("roc_auc"),
+        F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+    )
+
+
+@query
+def run_metadata(spark, sf):
+    """Every run record parsed, unreadable JSON included."""
+    return rounded(_entries(fx.runs_fixture(spark, sf)))
+
+
+@query
+def runs_list(spark, sf):
+    listed = runs.list_runs(
+        fx.runs_fixture(spark, sf), fx.run_activations(spark, sf), fx.run_deletes(spark, sf)
+    )
+    flag = listed.select("run_id", "is_active")
+    return rounded(_entries(listed).join(flag, "run_id"))
+
+
+@query
+def runs_by_algorithm(spark, sf):
+    live = runs.live_runs(fx.runs_fixture(spark, sf), fx.run_deletes(spark, sf))
+    return rounded(_entries(live.where(F.col("algorithm") == "2-HIGH")))
+
+
+@query
+def active_model(spark, sf):
+    return runs.active_version(fx.run_activations(spark, sf), fx.run_deletes(spark, sf))
+
+
+@query
+def experiment_rollup(spark, sf):
+    live = runs.live_runs(fx.runs_fixture(spark, sf), fx.run_deletes(spark, sf))
+    out = runs.experiments(live)
+    return out.select(
+        "id",
+        "dataset_version",
+        "optimize_metric",
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        "n_results",
+        F.array_join("models", ",").alias("models"),
+        "best_model",
+        "best_version",
+    )
+
+
+@query
+def experiments_by_algorithm(spark, sf):
+    live = runs.live_runs(fx.runs_fixture(spark, sf), fx.run_deletes(spark, sf))
+    best = runs.experiments(live).where(F.col("best_model") == "5-LOW")
+    return best.select("id", "best_version")
+
+
+@query
+def leaderboard(spark, sf):
+    out = runs.leaderboard(fx.runs_fixture(spark, sf), "f1")
+    return rounded(out.select("run_id", "algorithm", "score"))
+
+
+@query
+def performance_table(spark, sf):
+    return runs.performance_table(fx.runs_fixture(spark, sf).where("algorithm <> ''"))
+
+
+@query
+def radar_pivot(spark, sf):
+    named = fx.runs_fixture(spark, sf).where("algorithm <> ''")
+    models = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return runs.radar(runs.performance_table(named), models)
+
+
+@query
+def normalize_algorithm(spark, sf):
+    """Free spellings in the orders, brought to canonical names."""
+    spellings = [
+        " RF ",
+        "Random Forest",
+        "ada boost",
+        "XGB",
+        "LogReg",
+        "Logistic Regression",
+        "SVM",
+        "Knn",
+        "mlp",
+        "Neural Network",
+        "naive bayes",
+    ]
+    pick = F.element_at(
+        F.array(*[F.lit(s) for s in spellings]),
+        (F.col("o_custkey") % len(spellings) + 1).cast("int"),
+    )
+    named = fx.table(spark, sf, "orders").select("o_orderkey", pick.alias("name"))
+    return named.withColumn("algorithm", scalars.normalize_algorithm(F.col("name")))
+
+
+@query
+def run_time_ids(spark, sf):
+    events = fx.table(spark, sf, "events")
+    return events.select("event_id", scalars.timestamp_id(F.col("ts").cast("timestamp")).alias("id"))
+
+
+# Error mining on scored rows.
+
+
+@query
+def misclassified_topk(spark, sf):
+    out = diagnostics.misclassified_topk(fx.scored(spark, sf), fx.FEATURES, "row_id")
+    return rounded(out.select("index", "true", "pred", "prob", "features.*"))
+
+
+@query
+def error_patterns(spark, sf):
+    out = diagnostics.error_patterns(fx.scored(spark, sf), fx.NUMERIC, fx.CATEGORICAL)
+    return rounded(out, 4)
+
+
+# Nearest neighbours over the whole embedding table.
+
+
+def _neighbour_votes(spark, sf, weights):
+    df = fx.clf_multi(spark, sf)
+    counts = prep.validate(df, "label", "vec_id")
+    marked = split.stratified_split(df, "label", "vec_id", counts, 0.2, 42)
+    train = marked.where(~F.col("is_test")).select(
+        F.col("vec_id").alias("tid"), F.col("label").cast("double").alias("label"), "vec"
+    )
+    tested = marked.where("is_test").select(F.col("vec_id").alias("qid"), "vec")
+    votes = knn.vote(knn.nearest(tested, train, 5), len(counts), weights)
+    return rounded(
+        votes.select(
+            F.col("qid").alias("vec_id"),
+            F.col("prediction").cast("int").alias("prediction"),
+            F.array_max("probability").alias("share"),
+        )
+    )
+
+
+@query
+def knn_predict(spark, sf):
+    return _neighbour_votes(spark, sf, "uniform")
+
+
+@query
+def knn_predict_weighted(spark, sf):
+    return _neighbour_votes(spark, sf, "distance")
+
+
+# Fitted models over the whole of clf_base, measured on the held-out fifth.
+
+
+def _measured(spark, sf, algorithm, params):
+    held = workflows.HeldOut(fx.clf_base(spark, sf), "target", 0.2, 42, "row_id")
+    stages = held.fit(algorithm, params)
+    row = held.measure(stages)
+    n_test = sum(map(sum, row["confusion_matrix"]))
+    held.close()
+    names = ["accuracy", "precision", "recall", "f1", "roc_auc", "log_loss", "brier_score"]
+    values = (algorithm, n_test, *[row[n] for n in names])
+    types = "algorithm string, n_test bigint, " + ", ".join(f"{n} double" for n in names)
+    return spark.createDataFrame([values], types)
+
+
+@query
+def fit_logistic(spark, sf):
+    return _measured(spark, sf, "logistic_regression", {"max_iter": 50})
+
+
+@query
+def fit_random_forest(spark, sf):
+    return _measured(spark, sf, "random_forest", {"n_estimators": 20, "max_depth": 8})
+
+
+@query
+def fit_gbt(spark, sf):
+    return _measured(spark, sf, "xgboost", {"n_estimators": 10, "max_depth": 4})
+
+
+@query
+def fit_svm_linear(spark, sf):
+    return _measured(spark, sf, "svm", {"kernel": "linear"})
+
+
+@query
+def fit_svm_rbf(spark, sf):
+    return _measured(spark, sf, "svm", {"kernel": "rbf", "n_fourier": 64})
+
+
+@query
+def fit_adaboost(spark, sf):
+    return _measured(spark, sf, "adaboost", {"n_estimators": 10})
+
+
+@query
+def fit_mlp(spark, sf):
+    return _measured(spark, sf, "neural_network", {"hidden_layer_sizes": (16, 8), "max_iter": 40})
+
+
+@query
+def fit_knn(spark, sf):
+    return _measured(spark, sf, "knn", {"n_neighbors": 5})
+
+
+# Registry, workflows and scoring in a fresh warehouse.
+
+
+def _bench(spark) -> workflows.Workbench:
+    return workflows.Workbench(spark, scratch_path(spark, "warehouse"))
+
+
+@query
+def dataset_register(spark, sf):
+    """Customers imported from CSV, then orders from Parquet: both listed, one active."""
+    house = _bench(spark).warehouse
+    path = scratch_path(spark, "import")
+    delimited.write_csv(fx.table(spark, sf, "customer"), path)
+    house.upload(path, "customers")
+    house.upload(f"{sf}/orders.parquet", "orders")
+    return house.list_datasets().select(
+        "version", "rows", F.col("cols").cast("bigint").alias("cols"), "is_active"
+    )
+
+
+@query
+def dataset_load_version(spark, sf):
+    house = _bench(spark).warehouse
+    house.register(fx.table(spark, sf, "customer"), "customers")
+    return house.load_dataset("customers")
+
+
+@query
+def dataset_list(spark, sf):
+    """A cleaned version joins its source in the list and becomes the active one."""
+    house = _bench(spark).warehouse
+    house.register(fx.clf_nulls(spark, sf), "lines")
+    house.clean_missing("lines")
+    return house.list_datasets().select(
+        F.regexp_replace("version", "_clean_.*", "_clean").alias("version"),
+        "rows",
+        F.col("cols").cast("bigint").alias("cols"),
+        "source_version",
+        "rows_removed",
+        "is_active",
+    )
+
+
+def _results_frame(spark, results):
+    names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    rows = [
+        (i, r["model"], str(r["hyperparameters"]), *[r["metrics"][n] for n in names])
+        for i, r in enumerate(results)
+    ]
+    types = "place int, model string, hyperparameters string, "
+    return spark.createDataFrame(rows, types + ", ".join(f"{n} double" for n in names))
+
+
+QUICK = {
+    "random_forest": {"n_estimators": 20, "max_depth": 5},
+    "logistic_regression": {"max_iter": 50},
+}
+
+
+@query
+def train_compare(spark, sf):
+    bench = _bench(spark)
+    bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
+    out = bench.train(
+        workflows.TrainRequest("lines", models=["logreg", "rf"], hyperparameters=QUICK)
+    )
+    return _results_frame(spark, out["results"])
+
+
+@query
+def automl_leaderboard(spark, sf):
+    bench = _bench(spark)
+    bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
+    out = bench.automl(
+        workflows.AutoMLRequest(
+            "lines", candidate_models=["logreg", "knn"], quick_tuning=False, optimize_metric="roc_auc"
+        )
+    )
+    return _results_frame(spark, out["leaderboard"])
+
+
+def _tuned(spark, sf, **request):
+    bench = _bench(spark)
+    bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
+    out = bench.tune(workflows.TuneRequest("lines", **request))
+    rows = [(i, str(sorted(p.items())), float(v)) for i, (p, v) in enumerate(out["trials"])]
+    return spark.createDataFrame(rows, "trial int, parameters string, score double")
+
+
+@query
+def tune_grid(spark, sf):
+    space = {"C": [0.01, 1.0], "max_iter": [30]}
+    return _tuned(spark, sf, model="logreg", method="grid", search_space=space)
+
+
+@query
+def tune_random(spark, sf):
+    space = {"n_estimators": [5, 10], "max_depth": [3, 5, 8]}
+    return _tuned(spark, sf, model="rf", method="random", n_iter=2, search_space=space)
+
+
+@query
+def tune_sequential(spark, sf):
+    space = {"C": tuning.FloatRange(1e-3, 10.0, log=True), "max_iter": tuning.IntRange(10, 40)}
+    return _tuned(spark, sf, model="logreg", method="sequential", n_trials=3, search_space=space)
+
+
+@query
+def tune_then_train(spark, sf):
+    bench = _bench(spark)
+    bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
+    space = {"estimator__C": [0.01, 1.0], "estimator__max_iter": [30]}
+    out = bench.tune_then_train(
+        workflows.TuneRequest("lines", model="logreg", search_space=space),
+        workflows.TrainRequest("lines"),
+    )
+    return _results_frame(spark, out["results"])
+
+
+def _logged(spark, sf):
+    bench = _bench(spark)
+    bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
+    request = workflows.TrainRequest("lines", models=["logreg"], hyperparameters=QUICK)
+    return bench, bench.train(request)["best_model"]["model_version"]
+
+
+@query
+def score_saved_model(spark, sf):
+    """A logged model loaded again and applied to the whole table."""
+    bench, version = _logged(spark, sf)
+    model = bench.warehouse.load_model(version)
+    wanted = records.from_table(fx.clf_base(spark, sf), records.model_schema(model), ["row_id"])
+    return scoring.score_table(model, wanted).select("row_id", "predicted", "probability")
+
+
+@query
+def score_records(spark, sf):
+    """The whole table as JSON records."""
+    bench, version = _logged(spark, sf)
+    model = bench.warehouse.load_model(version)
+    path = scratch_path(spark, "records")
+    fx.clf_base(spark, sf).drop("target").write.json(path)
+    keep = T.StructType([T.StructField("row_id", T.StringType())])
+    wanted = records.read_json(spark, path, records.model_schema(model), keep)
+    return scoring.score_table(model, wanted).select("row_id", "predicted", "probability")
+
+
+@query
+def score_records_csv(spark, sf):
+    """The whole table as CSV records."""
+    bench, version = _logged(spark, sf)
+    model = bench.warehouse.load_model(version)
+    path = scratch_path(spark, "records")
+    delimited.write_csv(fx.clf_base(spark, sf).drop("target"), path)
+    wanted = records.read_csv(spark, path, records.model_schema(model), ["row_id"])
+    return scoring.score_table(model, wanted).select("row_id", "predicted", "probability")
+
+
+# Forest diagnostics.
+
+
+@query
+def importance_rollup(spark, sf):
+    df = fx.clf_base(spark, sf)
+    part = diagnostics.ForestSplit(df, "target", prep.validate(df, "target", "row_id"), 42, "row_id")
+    model = part.fit({"n_estimators": 20})
+    part.close()
+    return diagnostics.importance_rollup(
+        diagnostics.importance_slots(part.encoder, model.stages[0])
+    )
+
+
+@query
+def seed_stability(spark, sf):
+    params = {"n_estimators": 5, "max_depth": 5}
+    df = fx.clf_base(spark, sf)
+    return diagnostics.stability(
+        diagnostics.seed_scores(df, "target", diagnostics.SEEDS, params, "row_id")
+    )
+
+
+@query
+def bias_variance(spark, sf):
+    df = fx.clf_base(spark, sf)
+    return diagnostics.bias_variance(df, "target", [5, 10, 20], [None, 5, 10], 42, "row_id")

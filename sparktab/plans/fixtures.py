@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktab.operators.runs import parse_metadata
+
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 NUMERIC = FEATURES[:4]
 CATEGORICAL = FEATURES[4:]
@@ -84,18 +86,70 @@ def clf_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", vec.alias("vec"), "label")
 
 
-def runs_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders recast as raw run records: tags, parameters and JSON metadata."""
+def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders recast as raw run records: tags, parameters and JSON texts.
+
+    Partly filled orders carry unreadable JSON, urgent open ones no model name, and
+    only even customers name their ranking metric.
+    """
     share = F.col("o_totalprice") / 500000
+    readable = F.col("o_orderstatus") != "P"
+    nothing = F.lit(None).cast("string")
+    pairs = F.array(
+        F.struct(
+            F.lit("model_name"),
+            F.when(
+                (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"), ""
+            ).otherwise(F.col("o_orderpriority")),
+        ),
+        F.struct(F.lit("session_id"), F.concat(F.lit("s"), F.col("o_custkey").cast("string"))),
+        F.struct(
+            F.lit("optimize_metric"), F.when(F.col("o_custkey") % 2 == 0, "accuracy").otherwise(nothing)
+        ),
+    )
+    scores = F.struct(
+        share.alias("accuracy"),
+        (share * 0.9).alias("f1"),
+        F.when(F.col("o_orderstatus") == "F", share * 0.95).alias("roc_auc"),
+    )
+    depth = F.col("o_custkey").cast("string")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("run_id"),
         F.col("o_orderdate").cast("timestamp").alias("start_time"),
-        F.col("o_orderpriority").alias("algorithm"),
-        F.concat(F.lit("s"), F.col("o_custkey")).alias("session_id"),
-        share.alias("accuracy"),
-        F.when(F.col("o_orderstatus") != "P", share * 0.9).alias("f1"),
-        F.when(F.col("o_orderstatus") == "F", share * 0.95).alias("roc_auc"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_custkey").alias("custkey"),
-        F.col("o_orderkey").alias("orderkey"),
+        F.map_filter(F.map_from_entries(pairs), lambda k, v: v.isNotNull()).alias("tags"),
+        F.create_map(F.lit("hp_max_depth"), depth, F.lit("note"), F.lit("x")).alias("params"),
+        F.create_map(F.lit("accuracy"), share).alias("metrics_base"),
+        F.when(readable, F.to_json(scores)).otherwise("{broken").alias("metrics_json"),
+        F.when(readable, F.to_json(F.create_map(F.lit("max_depth"), depth)))
+        .otherwise("{broken")
+        .alias("hyperparameters_json"),
+    )
+
+
+def runs_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_metadata(raw_runs(spark, sf_dir))
+
+
+def run_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheap orders count as deleted runs."""
+    return (
+        table(spark, sf_dir, "orders")
+        .where("o_totalprice < 25000")
+        .select(
+            F.col("o_orderkey").cast("string").alias("run_id"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
+        )
+    )
+
+
+def run_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dear orders count as activations."""
+    return (
+        table(spark, sf_dir, "orders")
+        .where("o_totalprice > 400000")
+        .select(
+            F.lit("model").alias("kind"),
+            F.col("o_orderkey").cast("string").alias("version"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
+        )
     )

@@ -362,3 +362,148 @@ ORACLES["design_matrix_unscaled"] = (
     + ", ".join(f"round({c}, 6) AS num__{c}" for c in NUMERIC[:4])
     + f", {_HOT} FROM filled"
 )
+
+# Run log.
+
+RUNS = """runs AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderdate AS start_time,
+         CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN ''
+              ELSE o_orderpriority END AS algorithm,
+         'unknown' AS dataset_version, 's' || o_custkey AS session_id,
+         CASE WHEN o_custkey % 2 = 0 THEN 'accuracy' ELSE 'f1' END AS optimize_metric,
+         'train' AS source, CAST(o_custkey AS VARCHAR) AS max_depth,
+         CAST(1 AS INTEGER) AS n_parameters, o_totalprice / 500000 AS accuracy,
+         CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 500000 * 0.9::DOUBLE END AS f1,
+         CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 500000 * 0.95::DOUBLE END AS roc_auc,
+         o_totalprice AS price
+  FROM orders), live AS (
+  SELECT * FROM runs WHERE algorithm <> '' AND price >= 25000)"""
+_ENTRY = """run_id, algorithm, dataset_version, session_id, optimize_metric, source, max_depth,
+       n_parameters, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1,
+       round(roc_auc, 6) AS roc_auc, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS created_at"""
+_ACTIVE = """active AS (
+  SELECT CASE WHEN o_totalprice >= 25000 THEN CAST(o_orderkey AS VARCHAR) END AS version
+  FROM orders WHERE o_totalprice > 400000
+  ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 1)"""
+ORACLES["run_metadata"] = f"WITH {RUNS} SELECT {_ENTRY} FROM runs"
+ORACLES["runs_list"] = f"""
+WITH {RUNS}, {_ACTIVE}
+SELECT {_ENTRY}, COALESCE(run_id = (SELECT version FROM active), FALSE) AS is_active
+FROM live ORDER BY start_time DESC, run_id DESC LIMIT 5000"""
+ORACLES["runs_by_algorithm"] = f"""
+WITH {RUNS} SELECT {_ENTRY} FROM live WHERE algorithm = '2-HIGH'"""
+ORACLES["active_model"] = f"WITH {_ACTIVE} SELECT version FROM active"
+SESSIONS = """scored AS (
+  SELECT *, COALESCE(NULLIF(CASE WHEN first_value(optimize_metric) OVER newest = 'accuracy'
+                            THEN accuracy ELSE f1 END, 0), -1) AS score
+  FROM live WINDOW newest AS (PARTITION BY session_id ORDER BY start_time DESC, run_id DESC)),
+best AS (
+  SELECT session_id, algorithm, run_id FROM scored QUALIFY row_number() OVER (
+    PARTITION BY session_id ORDER BY score DESC, start_time DESC, run_id DESC) = 1),
+first_seen AS (
+  SELECT session_id, algorithm, row_number() OVER (PARTITION BY session_id
+         ORDER BY start_time DESC, run_id DESC) AS place
+  FROM live QUALIFY row_number() OVER (PARTITION BY session_id, algorithm
+                                       ORDER BY start_time DESC, run_id DESC) = 1),
+named AS (SELECT session_id, string_agg(algorithm, ',' ORDER BY place) AS models
+          FROM first_seen GROUP BY session_id),
+heads AS (SELECT session_id, MIN(start_time) AS created, COUNT(*) AS n_results,
+                 MIN(optimize_metric) AS optimize_metric FROM live GROUP BY session_id)"""
+ORACLES["experiment_rollup"] = f"""
+WITH {RUNS}, {SESSIONS}
+SELECT h.session_id AS id, 'unknown' AS dataset_version, h.optimize_metric,
+       strftime(h.created, '%Y-%m-%d %H:%M:%S') AS created_at, h.n_results, n.models,
+       b.algorithm AS best_model, b.run_id AS best_version
+FROM heads h JOIN named n USING (session_id) JOIN best b USING (session_id)"""
+ORACLES["experiments_by_algorithm"] = f"""
+WITH {RUNS}, {SESSIONS}
+SELECT session_id AS id, run_id AS best_version FROM best WHERE algorithm = '5-LOW'"""
+ORACLES["leaderboard"] = f"""
+WITH {RUNS} SELECT run_id, algorithm, round(COALESCE(NULLIF(f1, 0), -1), 6) AS score FROM runs"""
+_PERF = """perf AS (
+  SELECT algorithm AS model, round(accuracy * 100, 2) AS accuracy,
+         round(COALESCE(f1, 0) * 100, 2) AS f1, round(COALESCE(roc_auc, 0) * 100, 2) AS auc
+  FROM runs WHERE algorithm <> '' QUALIFY row_number() OVER (
+    PARTITION BY algorithm ORDER BY start_time DESC, run_id DESC) = 1)"""
+ORACLES["performance_table"] = f"WITH {RUNS}, {_PERF} SELECT * FROM perf"
+_MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+ORACLES["radar_pivot"] = f"WITH {RUNS}, {_PERF} " + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, "
+    + ", ".join(f"MAX(CASE WHEN model = '{x}' THEN {m} END) AS \"{x}\"" for x in _MODELS)
+    + " FROM perf"
+    for m in ("accuracy", "f1", "auc")
+)
+ORACLES["normalize_algorithm"] = """
+WITH spelled AS (
+  SELECT o_orderkey, CASE o_custkey % 11 WHEN 0 THEN ' RF ' WHEN 1 THEN 'Random Forest'
+    WHEN 2 THEN 'ada boost' WHEN 3 THEN 'XGB' WHEN 4 THEN 'LogReg'
+    WHEN 5 THEN 'Logistic Regression' WHEN 6 THEN 'SVM' WHEN 7 THEN 'Knn' WHEN 8 THEN 'mlp'
+    WHEN 9 THEN 'Neural Network' ELSE 'naive bayes' END AS name FROM orders)
+SELECT o_orderkey, name, CASE name WHEN ' RF ' THEN 'random_forest'
+    WHEN 'Random Forest' THEN 'random_forest' WHEN 'ada boost' THEN 'adaboost'
+    WHEN 'XGB' THEN 'xgboost' WHEN 'LogReg' THEN 'logistic_regression'
+    WHEN 'Logistic Regression' THEN 'logistic_regression' WHEN 'SVM' THEN 'svm'
+    WHEN 'Knn' THEN 'knn' WHEN 'mlp' THEN 'neural_network'
+    WHEN 'Neural Network' THEN 'neural_network' END AS algorithm FROM spelled"""
+ORACLES["run_time_ids"] = """
+SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S_%f') AS id FROM events"""
+
+ORACLES["misclassified_topk"] = f"""
+WITH {SCORED}
+SELECT row_id AS "index", label AS "true", prediction AS pred,
+       round(GREATEST(p, 1 - p), 6) AS prob, l_quantity, l_extendedprice, l_discount, l_tax,
+       l_returnflag, l_linestatus
+FROM scored WHERE label <> prediction ORDER BY GREATEST(p, 1 - p) DESC, row_id LIMIT 3"""
+ORACLES["error_patterns"] = (
+    f"WITH {SCORED} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, "
+        f"round(AVG({c}) FILTER (WHERE label <> prediction), 4) AS wrong_mean, "
+        f"round(AVG({c}) FILTER (WHERE label = prediction), 4) AS correct_mean, "
+        "CAST(NULL AS VARCHAR) AS wrong_mode, CAST(NULL AS VARCHAR) AS correct_mode FROM scored"
+        for c in NUMERIC[:4]
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT '{c}', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
+        + ", ".join(
+            f"(SELECT {c} FROM scored WHERE label {op} prediction GROUP BY {c} "
+            f"ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+            for op in ("<>", "=")
+        )
+        for c in CATEGORICAL[1:]
+    )
+)
+
+_NEIGHBOURS = """ranked AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label
+         ORDER BY md5(vec_id || ':42'), vec_id) AS rk FROM embeddings), classes AS (
+  SELECT label, COUNT(*) AS k, SUM(COUNT(*)) OVER () AS n FROM embeddings GROUP BY label), sized AS (
+  SELECT *, n - CAST(ceil(0.2::DOUBLE * n) AS BIGINT) AS n_train FROM classes), shares AS (
+  SELECT *, k * n_train // n AS whole, k * n_train % n AS rest FROM sized), train AS (
+  SELECT label, k, whole + CAST(row_number() OVER (ORDER BY rest DESC, label)
+         <= n_train - SUM(whole) OVER () AS INTEGER) AS k_train FROM shares), parts AS (
+  SELECT vec_id, ranked.label, v, rk <= k - k_train AS is_test
+  FROM ranked JOIN train ON ranked.label = train.label), near AS (
+  SELECT q.vec_id, t.label, list_distance(q.v, t.v) AS d FROM parts q, parts t
+  WHERE q.is_test AND NOT t.is_test QUALIFY row_number() OVER (
+    PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) <= 5), votes AS (
+  SELECT vec_id, label, SUM({weight}) AS w FROM near GROUP BY vec_id, label), shared AS (
+  SELECT *, w / SUM(w) OVER (PARTITION BY vec_id) AS share FROM votes)
+SELECT vec_id, CAST(label AS INTEGER) AS prediction, round(share, 6) AS share FROM shared
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, label) = 1"""
+ORACLES["knn_predict"] = "WITH " + _NEIGHBOURS.format(weight="1.0::DOUBLE")
+ORACLES["knn_predict_weighted"] = "WITH " + _NEIGHBOURS.format(weight="1 / d")
+
+ORACLES["dataset_register"] = """
+SELECT 'customers' AS version, COUNT(*) AS "rows", CAST(5 AS BIGINT) AS cols, FALSE AS is_active
+FROM customer UNION ALL SELECT 'orders', COUNT(*), CAST(6 AS BIGINT), TRUE FROM orders"""
+ORACLES["dataset_load_version"] = "SELECT * FROM customer"
+ORACLES["dataset_list"] = f"""
+WITH {NULLS}, c AS (
+  SELECT COUNT(*) AS b, COUNT(*) FILTER (WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL)
+         AS a FROM nulls)
+SELECT 'lines' AS version, b AS "rows", CAST(8 AS BIGINT) AS cols,
+       CAST(NULL AS VARCHAR) AS source_version, CAST(NULL AS BIGINT) AS rows_removed,
+       FALSE AS is_active FROM c
+UNION ALL SELECT 'lines_clean', a, 8, 'lines', b - a, TRUE FROM c"""
