@@ -50,14 +50,20 @@ def exact_quantiles(
     probabilities: list[float],
     direct_rows: int = DIRECT_ROWS,
     accuracy: int = ACCURACY,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, nulls and NaN ignored."""
+    """Linearly interpolated quantiles per column, nulls and NaN ignored.
+
+    ``counts`` saves a pass where the number of values per column is known.
+    """
     if not columns:
         return {}
     types = dict(df.dtypes)
     data = df.select([nan_to_null(c, types[c]).cast("double").alias(c) for c in columns])
-    counts = data.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns)]).first()
-    n_of = {c: counts[str(i)] for i, c in enumerate(columns)}
+    if counts is None:
+        row = data.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns)]).first()
+        counts = {c: row[str(i)] for i, c in enumerate(columns)}
+    n_of = counts
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
 
     small = [c for c in columns if 0 < n_of[c] <= direct_rows]

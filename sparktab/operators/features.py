@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sparktab.functions.quantiles import exact_quantiles
 from sparktab.functions.scalars import nan_to_null
-from sparktab.operators.profile import modes, numeric_columns
+from sparktab.operators.profile import category_lists, modes, numeric_columns
 
 MAX_CATEGORIES = 1_000_000
 
@@ -100,14 +100,19 @@ class PopulationScaler(_Stage, Estimator):
             x = F.col(f"`{c}`").cast("double")
             exprs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
         row = df.agg(*exprs).first()
-        eps, n = 2.0**-52, row["n"]
-        means, scales = {}, {}
-        for i, c in enumerate(columns):
-            mean, var = row[f"m{i}"], row[f"v{i}"]
-            # Rounding noise of a constant column is not a spread.
-            constant = var <= n * eps * var + (n * mean * eps) ** 2 if n < 1 / eps else var == 0
-            means[c], scales[c] = mean, 1.0 if constant else math.sqrt(var)
-        return PopulationScalerModel(means=means, scales=scales)
+        return PopulationScalerModel(
+            means={c: row[f"m{i}"] for i, c in enumerate(columns)},
+            scales={
+                c: _divisor(row["n"], row[f"m{i}"], row[f"v{i}"]) for i, c in enumerate(columns)
+            },
+        )
+
+
+def _divisor(n: int, mean: float, variance: float) -> float:
+    """Standard deviation, or 1 where the spread is only rounding noise."""
+    eps = 2.0**-52
+    noise = min(n * eps, 0.5) * variance + (n * mean * eps) ** 2
+    return 1.0 if variance <= noise else math.sqrt(variance)
 
 
 class PopulationScalerModel(_Stage, Model):
@@ -161,14 +166,19 @@ def route_columns(df: DataFrame, features: list[str]) -> tuple[list[str], list[s
     return numeric, categorical
 
 
-def build_encoder(df: DataFrame, features: list[str], scale: bool = True) -> Pipeline:
-    """Unfitted pipeline from raw features to the ``features`` vector."""
+def build_encoder(df: DataFrame, features: list[str], scale: bool = True) -> TableEncoder:
+    """Unfitted encoder from raw features to the ``features`` vector."""
     numeric, categorical = route_columns(df, features)
-    return _EncoderPlan(numeric=numeric, categorical=categorical, scale=scale)
+    return TableEncoder(numeric=numeric, categorical=categorical, scale=scale)
 
 
-class _EncoderPlan(_Stage, Estimator):
-    """Fits the stages in order; columns found empty are left out of the later ones."""
+class TableEncoder(_Stage, Estimator):
+    """Impute, scale, one-hot encode and assemble, fitted in three passes.
+
+    One pass takes counts and moments, one the medians, one the category lists. The
+    moments after imputation follow from those before it, so scaling costs no pass of
+    its own. Columns without any value are left out.
+    """
 
     numeric = Param(Params._dummy(), "numeric", "numeric columns")
     categorical = Param(Params._dummy(), "categorical", "other columns")
@@ -182,44 +192,54 @@ class _EncoderPlan(_Stage, Estimator):
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         numeric, categorical = self.value("numeric"), self.value("categorical")
-        if categorical:
-            _check_category_counts(df, categorical)
-        imputer = MedianModeImputer(numeric=numeric, categorical=categorical).fit(df)
-        dropped = set(imputer.value("dropped"))
-        num = [f"num__{c}" for c in numeric if c not in dropped]
-        cat = [f"cat__{c}" for c in categorical if c not in dropped]
-        stages = []
-        if self.value("scale") and num:
-            stages.append(PopulationScaler(columns=num))
+        types = dict(df.dtypes)
+        exprs = [F.count(F.lit(1)).alias("n")]
+        for i, c in enumerate(numeric):
+            x = nan_to_null(c, types[c]).cast("double")
+            exprs += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+        exprs += [
+            F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(categorical)
+        ]
+        row = df.agg(*exprs).first()
+        wide = [c for i, c in enumerate(categorical) if row[f"d{i}"] > MAX_CATEGORIES]
+        if wide:
+            raise ValueError(f"Too many categories to encode: {wide}")
+
+        counts = {c: row[f"k{i}"] for i, c in enumerate(numeric)}
+        medians = {c: q[0] for c, q in exact_quantiles(df, numeric, [0.5], counts=counts).items()}
+        labels, top = category_lists(df, categorical)
+        fills = {c: v for c, v in medians.items() if v is not None}
+        imputer = MedianModeImputerModel(
+            medians=fills, modes=top, dropped=[c for c in numeric + categorical if c not in fills | top]
+        )
+        stages: list = [imputer]
+        if self.value("scale") and fills:
+            means, scales = {}, {}
+            for i, c in enumerate(numeric):
+                if c in fills:
+                    n, k, mean, var = row["n"], row[f"k{i}"], row[f"m{i}"], row[f"v{i}"]
+                    whole = (k * mean + (n - k) * fills[c]) / n
+                    spread = k * (var + (mean - whole) ** 2) + (n - k) * (fills[c] - whole) ** 2
+                    means[f"num__{c}"] = whole
+                    scales[f"num__{c}"] = _divisor(n, whole, spread / n)
+            stages.append(PopulationScalerModel(means=means, scales=scales))
+        cat = [f"cat__{c}" for c in categorical if c in top]
         if cat:
-            stages += [
-                StringIndexer(
-                    inputCols=cat,
-                    outputCols=[f"{c}__index" for c in cat],
-                    stringOrderType="alphabetAsc",
-                    handleInvalid="keep",
-                ),
-                OneHotEncoder(
-                    inputCols=[f"{c}__index" for c in cat],
-                    outputCols=[f"{c}__slots" for c in cat],
-                    dropLast=True,
-                ),
+            indexers = [
+                StringIndexerModel.from_labels(
+                    labels[c[5:]], inputCol=c, outputCol=f"{c}__index", handleInvalid="keep"
+                )
+                for c in cat
             ]
-        stages.append(
-            VectorAssembler(inputCols=num + [f"{c}__slots" for c in cat], outputCol="features")
-        )
-        rest = Pipeline(stages=stages).fit(imputer.transform(df))
-        return PipelineModel([imputer, *rest.stages])
-
-
-def _check_category_counts(df: DataFrame, columns: list[str]) -> None:
-    """Category lists live in the model, so their size must be known to be small."""
-    row = df.agg(
-        *[F.approx_count_distinct(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns)]
-    ).first()
-    wide = [c for i, c in enumerate(columns) if row[str(i)] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"Too many categories to encode: {wide}")
+            encoder = OneHotEncoder(
+                inputCols=[f"{c}__index" for c in cat],
+                outputCols=[f"{c}__slots" for c in cat],
+                dropLast=True,
+            )
+            indexed = PipelineModel([imputer, *indexers]).transform(df)
+            stages += [*indexers, encoder.fit(indexed)]
+        inputs = [f"num__{c}" for c in fills] + [f"{c}__slots" for c in cat]
+        return PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
 
 
 def slot_table(encoder: PipelineModel) -> list[tuple[int, str, str]]:
@@ -227,8 +247,8 @@ def slot_table(encoder: PipelineModel) -> list[tuple[int, str, str]]:
     assembler = encoder.stages[-1]
     labels = {}
     for stage in encoder.stages:
-        if type(stage).__name__ == "StringIndexerModel":
-            labels = dict(zip(stage.getInputCols(), stage.labelsArray))
+        if isinstance(stage, StringIndexerModel):
+            labels[stage.getInputCol()] = stage.labels
     slots = []
     for col in assembler.getInputCols():
         if col.startswith("num__"):
@@ -238,16 +258,3 @@ def slot_table(encoder: PipelineModel) -> list[tuple[int, str, str]]:
             for value in labels[source]:
                 slots.append((len(slots), f"{source}_{value}", source[5:]))
     return slots
-
-
-def encoder_columns(encoder: PipelineModel) -> list[str]:
-    """Working columns the encoder adds besides ``features``."""
-    assembler = encoder.stages[-1].getInputCols()
-    out = []
-    for col in assembler:
-        if col.endswith("__slots"):
-            base = col[: -len("__slots")]
-            out += [base, f"{base}__index", col]
-        else:
-            out.append(col)
-    return out

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.session import combine_single_rows, cut_lineage
+from sparktab.session import combine_single_rows
 
 SCORES_PER_BUCKET = 250_000
 ONE_BUCKET_SCORES = 1_000_000
@@ -29,134 +29,145 @@ def confusion_counts(scored: DataFrame, label: str = "label", prediction: str =
     )
 
 
-def dense_counts(counts: DataFrame) -> DataFrame:
-    """Confusion counts filled up over the union of labels, from one read of ``counts``."""
-    zero = F.lit(0).cast("bigint")
-    rows = F.array(
-        F.struct("label", "prediction", "n"),
-        F.struct(F.col("prediction").alias("label"), F.col("prediction"), zero.alias("n")),
+def summary(counts: DataFrame) -> DataFrame:
+    """One row with everything that follows from confusion counts.
+
+    ``truth`` holds the true labels, ``axis`` the union of true and predicted ones,
+    ``matrix`` the dense counts over ``axis``. Loss sums in ``counts`` are added up.
+    """
+    losses = [c for c in ("n_log", "log_sum", "square_sum") if c in counts.columns]
+    lines = counts.groupBy("label").agg(
+        F.map_from_entries(F.collect_list(F.struct("prediction", "n"))).alias("line"),
+        *[F.sum(c).alias(c) for c in losses],
     )
-    axis = F.array_sort(F.collect_set("label").over(Window.partitionBy(F.lit(1))))
-    return (
-        counts.select(F.inline(rows))
-        .groupBy("label", "prediction")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("axis", axis)
-        .groupBy("label", "axis")
-        .agg(F.map_from_entries(F.collect_list(F.struct("prediction", "n"))).alias("found"))
-        .select("label", "found", F.explode("axis").alias("prediction"))
-        .select(
-            "label",
-            "prediction",
-            F.coalesce(F.try_element_at("found", F.col("prediction")), F.lit(0)).alias("n"),
-        )
+    row = lines.agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "line"))).alias("lines"),
+        *[F.sum(c).alias(c) for c in losses],
+    )
+    seen = F.flatten(F.transform(F.map_values("lines"), F.map_keys))
+    row = row.select(
+        "*",
+        F.array_sort(F.map_keys("lines")).alias("truth"),
+        F.array_sort(F.array_union(F.map_keys("lines"), seen)).alias("axis"),
+    )
+    none = F.lit(0).cast("bigint")
+    row = row.withColumn(
+        "matrix",
+        F.transform(
+            "axis",
+            lambda t: F.transform(
+                "axis",
+                lambda p: F.coalesce(
+                    F.try_element_at(F.try_element_at("lines", t), p), none
+                ),
+            ),
+        ),
     )
+    places = F.sequence(F.lit(0), F.size("axis") - 1)
+    sums = row.select(
+        "*",
+        F.transform("matrix", _sum_long).alias("support"),
+        F.transform(
+            places, lambda j: _sum_long(F.transform("matrix", lambda line: F.get(line, j)))
+        ).alias("predicted"),
+        F.transform("matrix", lambda line, i: F.get(line, i)).alias("tp"),
+    )
+    return sums.withColumn("n", _sum_long(F.col("support")))
 
 
-def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction"):
-    """Dense (label, prediction, n) over the union of true and predicted labels."""
-    return dense_counts(confusion_counts(scored, label, prediction))
+def _sum_long(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def confusion_cells(scored: DataFrame, label: str = "label", prediction: str = "prediction"):
-    """(cell, value) with TN, FP, FN, TP; empty unless there are exactly two labels."""
-    everything = Window.partitionBy(F.lit(1))
-    dense = confusion_matrix(scored, label, prediction)
-    place = F.row_number().over(everything.orderBy("label", "prediction"))
-    names = F.array(*[F.lit(x) for x in ("TN", "FP", "FN", "TP")])
-    return (
-        dense.withColumn("place", place)
-        .withColumn("cells", F.count(F.lit(1)).over(everything))
-        .where(F.col("cells") == 4)
-        .select(F.element_at(names, F.col("place")).alias("cell"), F.col("n").alias("value"))
-    )
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
-def per_class(counts: DataFrame) -> DataFrame:
-    """(class, support, predicted, tp, precision, recall, f1) from confusion counts."""
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
-    zero = F.lit(0).cast("bigint")
-    both = F.array(
-        F.struct(
-            F.col("label").alias("class"),
-            F.col("n").alias("support"),
-            zero.alias("predicted"),
-            hit.cast("bigint").alias("tp"),
-        ),
-        F.struct(
-            F.col("prediction").alias("class"),
-            zero.alias("support"),
-            F.col("n").alias("predicted"),
-            zero.alias("tp"),
+def _ratios(top: Column, bottom: Column) -> Column:
+    """Elementwise division where 0/0 counts as 0."""
+    return F.zip_with(top, bottom, lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+
+
+def _class_rates() -> dict[str, Column]:
+    tp, support, predicted = F.col("tp"), F.col("support"), F.col("predicted")
+    return {
+        "precision": _ratios(tp, predicted),
+        "recall": _ratios(tp, support),
+        "f1": _ratios(
+            F.transform(tp, lambda x: 2 * x), F.zip_with(support, predicted, lambda a, b: a + b)
         ),
-    )
-    sums = (
-        counts.select(F.inline(both))
-        .groupBy("class")
-        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
-    )
+    }
 
-    def ratio(a: Column, b: Column) -> Column:
-        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-    return sums.select(
-        "*",
-        ratio(F.col("tp"), F.col("predicted")).alias("precision"),
-        ratio(F.col("tp"), F.col("support")).alias("recall"),
-        ratio(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"),
-    )
+def _headline() -> list[Column]:
+    """Exactly two true labels: the greater one is positive. Otherwise plain means."""
+    accuracy = _sum_long(F.col("tp")) / F.col("n")
+    positive = F.array_position("axis", F.array_max("truth")).cast("int")
+    return [
+        accuracy.alias("accuracy"),
+        (1 - accuracy).alias("error_rate"),
+        *[
+            F.when(F.size("truth") == 2, F.element_at(rates, positive))
+            .otherwise(_mean(rates))
+            .alias(name)
+            for name, rates in _class_rates().items()
+        ],
+    ]
+
+
+def _ordinal() -> list[Column]:
+    """Errors of label indices; null if a predicted label is never true."""
+    known = F.size("axis") == F.size("truth")
+
+    def moment(power) -> Column:
+        weighted = F.transform(
+            "matrix",
+            lambda line, i: F.aggregate(
+                F.transform(line, lambda n, j: n * power(i - j)), F.lit(0.0), lambda a, x: a + x
+            ),
+        )
+        return F.when(known, F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x) / F.col("n"))
 
+    mse = moment(lambda d: d * d)
+    return [moment(F.abs).alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse")]
 
-def headline(counts: DataFrame) -> DataFrame:
-    """One row: accuracy, error rate, precision, recall, F1 by the averaging rule.
 
-    Exactly two true labels: the greater one is positive. Otherwise the plain mean
-    over all labels seen.
-    """
-    classes = per_class(counts)
-    true_class = F.when(F.col("support") > 0, F.col("class"))
-    binary = F.count(true_class) == 2
+def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction"):
+    """Dense (label, prediction, n) over the union of true and predicted labels."""
+    lines = summary(confusion_counts(scored, label, prediction)).select(
+        "axis", F.posexplode("matrix").alias("i", "line")
+    )
+    cells = lines.select("axis", "i", F.posexplode("line").alias("j", "n"))
+    return cells.select(
+        F.get("axis", F.col("i")).alias("label"), F.get("axis", F.col("j")).alias("prediction"), "n"
+    )
 
-    def averaged(metric: str) -> Column:
-        positive = F.max_by(F.col(metric), true_class)
-        return F.when(binary, positive).otherwise(F.avg(metric)).alias(metric)
 
-    accuracy = F.sum("tp") / F.sum("support")
-    return classes.agg(
-        accuracy.alias("accuracy"),
-        (1 - accuracy).alias("error_rate"),
-        averaged("precision"),
-        averaged("recall"),
-        averaged("f1"),
+def confusion_cells(scored: DataFrame, label: str = "label", prediction: str = "prediction"):
+    """(cell, value) with TN, FP, FN, TP; empty unless there are exactly two labels."""
+    names = F.array(*[F.lit(x) for x in ("TN", "FP", "FN", "TP")])
+    two = summary(confusion_counts(scored, label, prediction)).where(F.size("axis") == 2)
+    return two.select(F.posexplode(F.flatten("matrix")).alias("place", "value")).select(
+        F.get(names, F.col("place")).alias("cell"), "value"
     )
 
 
 def classification_metrics(
     scored: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    return headline(confusion_counts(scored, label, prediction))
+    """One row: accuracy, error rate, precision, recall, F1 by the averaging rule."""
+    return summary(confusion_counts(scored, label, prediction)).select(*_headline())
 
 
 def macro_metrics(counts: DataFrame) -> DataFrame:
     """One row of unweighted means over the union of labels."""
-    return per_class(counts).agg(
-        *[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")]
-    )
+    rates = _class_rates()
+    return summary(counts).select(*[_mean(r).alias(f"{name}_macro") for name, r in rates.items()])
 
 
 def ordinal_errors(counts: DataFrame) -> DataFrame:
     """MAE, MSE, RMSE on label indices; null if a predicted label is never true."""
-    labels = F.array_sort(F.collect_set("label").over(Window.partitionBy(F.lit(1))))
-    indexed = counts.withColumn("labels", labels).select(
-        "n",
-        F.array_position("labels", F.col("label")).alias("t"),
-        F.array_position("labels", F.col("prediction")).alias("p"),
-    )
-    d = F.col("t") - F.col("p")
-    known = F.min("p") > 0
-    mae = F.when(known, F.sum(F.col("n") * F.abs(d)) / F.sum("n"))
-    mse = F.when(known, F.sum(F.col("n") * d * d) / F.sum("n"))
-    return indexed.agg(mae.alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"))
+    return summary(counts).select(*_ordinal())
 
 
 def class_index(label: Column, classes: list) -> Column:
@@ -342,9 +353,8 @@ def metric_payload(
 ) -> DataFrame:
     """The full metric set as one row.
 
-    One pass folds the rows into counts and loss sums per (label, prediction), kept as
-    a small checkpointed table that all rules read; a second one orders the folded
-    scores for the AUC.
+    One pass folds the rows into counts and loss sums per (label, prediction), on which
+    all rules run; a second one orders the folded scores for the AUC.
     """
     if probability is None:
         losses = (F.lit(None).cast("double"), F.lit(None).cast("double"))
@@ -356,32 +366,16 @@ def metric_payload(
         F.sum(losses[0]).alias("log_sum"),
         F.sum(losses[1]).alias("square_sum"),
     )
-    sums = cut_lineage(sums)
-    everything = Window.partitionBy(F.lit(1))
-    truth = F.array_sort(F.collect_set("label").over(everything))
-    known = F.min(F.array_position("truth", F.col("prediction"))) > 0
-    two = F.max(F.size("truth")) == 2
-    loss_row = sums.withColumn("truth", truth).agg(
-        F.when(known & (F.sum("n_log") == F.sum("n")), F.sum("log_sum") / F.sum("n")).alias(
-            "log_loss"
-        ),
-        F.when(known & two, F.sum("square_sum") / F.sum("n")).alias("brier_score"),
-    )
-    lines = (
-        dense_counts(sums.select("label", "prediction", "n"))
-        .groupBy("label")
-        .agg(F.array_sort(F.collect_list(F.struct("prediction", "n"))).alias("line"))
-        .agg(F.array_sort(F.collect_list(F.struct("label", "line"))).alias("lines"))
+    known = F.size("axis") == F.size("truth")
+    row = summary(sums).select(
+        *_headline(),
+        *_ordinal(),
+        F.when(known & (F.col("n_log") == F.col("n")), F.col("log_sum") / F.col("n")).alias("log_loss"),
+        F.when(known & (F.size("truth") == 2), F.col("square_sum") / F.col("n")).alias("brier_score"),
+        F.col("matrix").alias("confusion_matrix"),
     )
-    matrix = lines.select(
-        F.transform("lines", lambda r: F.transform(r["line"], lambda x: x["n"])).alias(
-            "confusion_matrix"
-        )
-    )
-    parts = [headline(sums), ordinal_errors(sums), loss_row, matrix]
-    if probability is not None:
-        parts.append(roc_auc(scored, classes, label, probability))
-    row = combine_single_rows(*parts)
     if probability is None:
         row = row.withColumn("roc_auc", F.lit(None).cast("double"))
+    else:
+        row = combine_single_rows(row, roc_auc(scored, classes, label, probability))
     return row.withColumn("labels", F.array(*[F.lit(c) for c in classes]))

@@ -11,6 +11,7 @@ from sparktab.operators import metrics
 from sparktab.operators.estimators import fit_classifier
 from sparktab.operators.features import ClassDecoder, build_encoder
 from sparktab.operators.prep import ROW_ID, feature_columns
+from sparktab.session import cut_lineage
 
 
 def with_class_number(df: DataFrame, target: str, classes: list) -> DataFrame:
@@ -77,7 +78,7 @@ def measure(
         row = metrics.metric_payload(
             scored, model_classes(model), target, "predicted", "probability"
         )
-        row = metrics.cut_lineage(row)
+        row = cut_lineage(row)
     finally:
         scored.unpersist()
     return row

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW_ID = "_row_id"
-MAX_CLASSES = 10_000
+MAX_CLASSES = 1_000
 
 
 def check_columns(df: DataFrame, columns: list[str], message: str = "Unknown columns") -> None:

@@ -186,6 +186,28 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in columns}
 
 
+def category_lists(
+    df: DataFrame, columns: list[str]
+) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Ascending distinct values and the mode of each column that has any.
+
+    For columns whose number of values is known to be small.
+    """
+    if not columns:
+        return {}, {}
+    rows = (
+        value_counts(df, columns)
+        .where(F.col("value").isNotNull())
+        .groupBy("column")
+        .agg(
+            F.array_sort(F.collect_list("value")).alias("labels"),
+            F.min(F.struct((-F.col("n")).alias("neg"), "value"))["value"].alias("top"),
+        )
+        .collect()
+    )
+    return {r["column"]: r["labels"] for r in rows}, {r["column"]: r["top"] for r in rows}
+
+
 def low_cardinality_columns(df: DataFrame, limit: int = 10) -> list[str]:
     """Non-numeric columns with at most ``limit`` distinct values.
 
