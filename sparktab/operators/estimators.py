@@ -220,6 +220,7 @@ def _fit_svm(df: DataFrame, p: dict) -> list:
         regParam=1.0 / (p["C"] * n),
         standardization=False,
         maxIter=100,
+        tol=1e-3,
     ).fit(df)
     slicer = VectorSlicer(inputCol="margins", outputCol="margin", indices=[1])
     stages += [svc, slicer]

@@ -367,7 +367,7 @@ def _entries(df: DataFrame) -> DataFrame:
 @query
 def run_metadata(spark, sf):
     """Every run record parsed, unreadable JSON included."""
-    return rounded(_entries(fx.runs_fixture(spark, sf)))
+    return _entries(fx.runs_fixture(spark, sf))
 
 
 @query
@@ -376,13 +376,13 @@ def runs_list(spark, sf):
         fx.runs_fixture(spark, sf), fx.run_activations(spark, sf), fx.run_deletes(spark, sf)
     )
     flag = listed.select("run_id", "is_active")
-    return rounded(_entries(listed).join(flag, "run_id"))
+    return _entries(listed).join(flag, "run_id")
 
 
 @query
 def runs_by_algorithm(spark, sf):
     live = runs.live_runs(fx.runs_fixture(spark, sf), fx.run_deletes(spark, sf))
-    return rounded(_entries(live.where(F.col("algorithm") == "2-HIGH")))
+    return _entries(live.where(F.col("algorithm") == "2-HIGH"))
 
 
 @query
@@ -416,7 +416,7 @@ def experiments_by_algorithm(spark, sf):
 @query
 def leaderboard(spark, sf):
     out = runs.leaderboard(fx.runs_fixture(spark, sf), "f1")
-    return rounded(out.select("run_id", "algorithm", "score"))
+    return out.select("run_id", "algorithm", "score")
 
 
 @query

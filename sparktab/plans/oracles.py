@@ -379,8 +379,7 @@ RUNS = """runs AS (
   FROM orders), live AS (
   SELECT * FROM runs WHERE algorithm <> '' AND price >= 25000)"""
 _ENTRY = """run_id, algorithm, dataset_version, session_id, optimize_metric, source, max_depth,
-       n_parameters, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1,
-       round(roc_auc, 6) AS roc_auc, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS created_at"""
+       n_parameters, accuracy, f1, roc_auc, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS created_at"""
 _ACTIVE = """active AS (
   SELECT CASE WHEN o_totalprice >= 25000 THEN CAST(o_orderkey AS VARCHAR) END AS version
   FROM orders WHERE o_totalprice > 400000
@@ -419,7 +418,7 @@ ORACLES["experiments_by_algorithm"] = f"""
 WITH {RUNS}, {SESSIONS}
 SELECT session_id AS id, run_id AS best_version FROM best WHERE algorithm = '5-LOW'"""
 ORACLES["leaderboard"] = f"""
-WITH {RUNS} SELECT run_id, algorithm, round(COALESCE(NULLIF(f1, 0), -1), 6) AS score FROM runs"""
+WITH {RUNS} SELECT run_id, algorithm, COALESCE(NULLIF(f1, 0), -1) AS score FROM runs"""
 _PERF = """perf AS (
   SELECT algorithm AS model, round(accuracy * 100, 2) AS accuracy,
          round(COALESCE(f1, 0) * 100, 2) AS f1, round(COALESCE(roc_auc, 0) * 100, 2) AS auc

@@ -43,6 +43,6 @@ def compare(df, con, sql):
     got, want = canonical(df.columns, rows), canonical(names, expected)
     if got == want:
         return None
-    only_got = [r for r in got if r not in set(want)][:3]
-    only_want = [r for r in want if r not in set(got)][:3]
+    only_got = sorted(set(got) - set(want))[:3]
+    only_want = sorted(set(want) - set(got))[:3]
     return f"rows {len(got)} vs {len(want)}; only spark {only_got}; only sql {only_want}"
