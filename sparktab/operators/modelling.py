@@ -13,6 +13,8 @@ from sparktab.operators.features import ClassDecoder, build_encoder
 from sparktab.operators.prep import ROW_ID, feature_columns
 from sparktab.session import cut_lineage
 
+ROWS_PER_PARTITION = 50_000
+
 
 def with_class_number(df: DataFrame, target: str, classes: list) -> DataFrame:
     """Add ``label``: the class's place in the ascending class list, as double."""
@@ -26,6 +28,16 @@ def encoded(df: DataFrame, encoder: PipelineModel, row_id: str, target: str) ->
     return encoder.transform(df).select(row_id, target, "label", "features")
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Enough partitions for every core when a table of this many rows has too few.
+
+    Iterative fits read their input many times; large inputs are split finely already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, rows // ROWS_PER_PARTITION)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def fit_model(
     train: DataFrame,
     target: str,

@@ -17,7 +17,7 @@ from sparktab.functions.scalars import algorithm_name, strip_prefix
 from sparktab.operators import metrics, split
 from sparktab.operators.estimators import fit_classifier
 from sparktab.operators.features import build_encoder
-from sparktab.operators.modelling import encoded, feature_columns_of, with_class_number
+from sparktab.operators.modelling import encoded, feature_columns_of, spread, with_class_number
 from sparktab.operators.prep import ROW_ID
 
 
@@ -154,11 +154,15 @@ class FoldScorer:
         numbered = with_class_number(df, target, self.classes)
         folded = split.stratified_folds(numbered, target, row_id, counts, cv, seed)
         self.folds = []
+        rows = sum(counts.values())
         for f in range(cv):
             train = folded.where(F.col("fold") != f).drop("fold")
             valid = folded.where(F.col("fold") == f).drop("fold")
             encoder = build_encoder(train, features).fit(train)
-            pair = [encoded(part, encoder, row_id, target).persist() for part in (train, valid)]
+            pair = [
+                spread(encoded(part, encoder, row_id, target), n).persist()
+                for part, n in ((train, rows - rows // cv), (valid, rows // cv))
+            ]
             self.folds.append(pair)
 
     def _fold_score(self, params: dict, fold: list[DataFrame]) -> float:

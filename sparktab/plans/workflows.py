@@ -18,6 +18,7 @@ from sparktab.operators.modelling import (
     encoded,
     feature_columns_of,
     model_classes,
+    spread,
     with_class_number,
 )
 from sparktab.operators.prep import ROW_ID
@@ -92,9 +93,11 @@ class HeldOut:
         self.train_rows = marked.where(~F.col("is_test")).drop("is_test")
         self.test_rows = marked.where("is_test").drop("is_test")
         self.encoder = build_encoder(self.train_rows, self.features).fit(self.train_rows)
+        rows = sum(self.counts.values())
+        tests = sum(split.test_counts(self.counts, test_size).values())
         self.train, self.test = (
-            encoded(part, self.encoder, row_id, target).persist()
-            for part in (self.train_rows, self.test_rows)
+            spread(encoded(part, self.encoder, row_id, target), n).persist()
+            for part, n in ((self.train_rows, rows - tests), (self.test_rows, tests))
         )
 
     def train_counts(self) -> dict:
