@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktab.llm import exact_dedup, interpolated_lm, rlz_dedup
+from sparktab.llm import exact_dedup, interpolated_lm, positional_index, rlz_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated"
+    )
+
+
 def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = rlz_dedup.duplicate_spans(_table(spark, sf_dir, "documents"))
     return parsed.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -31,6 +39,7 @@ def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolated_lm": op1_interpolated_lm,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_positional_index": op6_positional_index,
     "op7_rlz_dedup": op7_rlz_dedup,
 }
 
