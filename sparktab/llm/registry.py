@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktab.llm import exact_dedup, interpolated_lm, positional_index, rlz_dedup
+from sparktab.llm import exact_dedup, huffman, interpolated_lm, piece_fst, positional_index, rlz_dedup
+
+#: Vocabulary files of the installed public tokenizers.
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +28,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = Path(public_tokenizers.path(BYTE_BPE)).read_text(encoding="utf-8")
+    return huffman.round_trip(_table(spark, sf_dir, "documents"), tokenizer).withColumnRenamed("id", "doc_id")
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
@@ -36,11 +46,19 @@ def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Path(public_tokenizers.path(PIECE_BPE)).read_bytes()
+    encoded = piece_fst.encode(_table(spark, sf_dir, "documents"), model)
+    return encoded.select(F.col("id").alias("doc_id"), "n_pieces", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "round_trip")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolated_lm": op1_interpolated_lm,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_huffman_files": op4_huffman_files,
     "op6_positional_index": op6_positional_index,
     "op7_rlz_dedup": op7_rlz_dedup,
+    "op8_piece_fst": op8_piece_fst,
 }
 
 ORACLES: dict[str, str] = {
