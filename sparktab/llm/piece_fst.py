@@ -5,7 +5,7 @@ A model file is compiled to three transducers, which are composed with each text
 * normaliser: white space becomes the meta symbol, one is put before the text, and the
   model's switches for extra white space hold; identity otherwise;
 * pieces: an arc for every piece that the model can make, found through a table of all
-  prefixes, with a weight;
+  their beginnings or ends, with a weight;
 * byte fallback: for a character that no piece covers, an arc for each of its bytes.
 
 The encoding is the path of least weight in the tropical semiring (min, +). For a unigram
@@ -31,6 +31,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,10 @@ class Transducer:
         for piece, i in arcs.items():
             if len(piece) > 1 and set(piece) == {META} and self.bpe:
                 continue  # runs have arcs of their own
-            for j in range(1, len(piece)):
-                self.arcs.setdefault(piece[:j], -1)
+            for j in range(1, len(piece)):  # a table of the beginnings of pieces, or of their ends for BPE
+                self.arcs.setdefault(piece[j:] if self.bpe else piece[:j], -1)
             self.arcs[piece] = i
+        self.composed: tuple[str, list[int], list[int]] = ("", [-1], [-1])
         self.cache: dict[str, tuple[int, ...]] = {}  # paths of recent words; older: of those before
         self.older: dict[str, tuple[int, ...]] = {}
         self.words = re.compile(f"{META}*[^{META}]+|{META}+")
@@ -228,25 +230,34 @@ class Transducer:
         return self._stable_path(word) if self.bpe else self._light_path(word)
 
     def _stable_path(self, word: str) -> list[int]:
-        """With weights of zero and infinity: each place is reached by one path at most, so the first to come is it."""
+        """With weights of zero and infinity: each place is reached by one path only, which depends on the text before
+        it alone. So the places that a word shares with the word composed before are taken over."""
         n = len(word)
+        before, last, back = self.composed
+        same = 0
+        for a, b in zip(word, before):
+            if a != b:
+                break
+            same += 1
+        del last[same + 1 :], back[same + 1 :]
         arc, pairs, stable = self.arcs.get, self.pairs.get, self.stable
-        last, back = [-1] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            here = last[i]
-            for j in range(i + 1, n + 1):
+        for j in range(same + 1, n + 1):
+            found, at = -1, j - 1  # if no piece ends here: a character without a piece of its own
+            for i in range(j - 1, -1, -1):
                 piece = arc(word[i:j])
                 if piece is None:
                     break
-                if piece < 0 or back[j] >= 0:
-                    continue
-                if here >= 0:
-                    fits = pairs(here << 20 | piece)
-                    if not (stable(here, piece) if fits is None else fits):
-                        continue
-                last[j], back[j] = piece, i
-            if back[i + 1] < 0:  # no piece ends here: a character without a piece of its own
-                back[i + 1] = i
+                if piece >= 0:
+                    here = last[i]
+                    if here >= 0:
+                        fits = pairs(here << 20 | piece)
+                        if not (stable(here, piece) if fits is None else fits):
+                            continue
+                    found, at = piece, i
+                    break
+            last.append(found)
+            back.append(at)
+        self.composed = word, last, back
         return self._trace(word, last, back)
 
     def _trace(self, word: str, last: list[int], back: list[int]) -> list[int]:
@@ -316,20 +327,20 @@ class Transducer:
         out = [self.number[META * k] for k in symbols]
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The pieces of each text. Words not met before are composed in order, next to those they share most with."""
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        out: list[int] = []
-        for word in self.words.findall(self.normalise(text)):
-            ids = cache.get(word)
-            if ids is None:
-                ids = older.get(word)
-                if ids is None:
-                    ids = tuple(self.word(word))
-                if len(word) <= 64:
-                    cache[word] = ids
-            out += ids
+        split = [self.words.findall(self.normalise(t)) for t in texts]
+        fresh = {w for found in split for w in found if w not in cache}
+        cache.update((w, older[w]) for w in fresh if w in older)
+        for word in sorted(w for w in fresh if w not in cache):
+            cache[word] = tuple(self.word(word))
+        out = [list(chain.from_iterable(map(cache.__getitem__, found))) for found in split]
+        for word in fresh:
+            if len(word) > 64:
+                del cache[word]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -386,7 +397,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             text = text.fill_null("") if text.null_count else text
             for low, high in in_runs(np.diff(words.buffer_of(text)[1]).tolist(), TEXT_RUN):
                 texts = text[low:high].to_pylist()
-                ids = [fst.encode(t) for t in texts]
+                ids = fst.encode(texts)
                 decoded = [fst.decode(x) for x in ids]
                 same = [d == t.replace(META, " ") for d, t in zip(decoded, texts)]
                 columns = [
