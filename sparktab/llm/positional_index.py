@@ -282,3 +282,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     names = F.array_sort(F.array_distinct(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit("")))))
     rows = found.select("id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), names.alias("items"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns. Rows that share an id go together; rows
+    without an id stay."""
+    gone = contamination(docs, items, id_col, text_col).where("id is not null and contaminated").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktab.llm import exact_dedup, huffman, interpolated_lm, piece_fst, positional_index, rlz_dedup
+from sparktab.llm import (
+    crf,
+    exact_dedup,
+    host_suffix,
+    huffman,
+    interpolated_lm,
+    license_diagonals,
+    order_minhash,
+    piece_fst,
+    positional_index,
+    rlz_dedup,
+)
 
 #: Vocabulary files of the installed public tokenizers.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -23,6 +34,10 @@ def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_diagonals.licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -33,6 +48,10 @@ def op4_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(_table(spark, sf_dir, "documents"), tokenizer).withColumnRenamed("id", "doc_id")
 
 
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
@@ -52,13 +71,25 @@ def op8_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select(F.col("id").alias("doc_id"), "n_pieces", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "round_trip")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_suffix.main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolated_lm": op1_interpolated_lm,
+    "op2_license_diagonals": op2_license_diagonals,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_huffman_files": op4_huffman_files,
+    "op5_crf_toxicity": op5_crf_toxicity,
     "op6_positional_index": op6_positional_index,
     "op7_rlz_dedup": op7_rlz_dedup,
     "op8_piece_fst": op8_piece_fst,
+    "op9_order_minhash": op9_order_minhash,
+    "op10_host_suffix": op10_host_suffix,
 }
 
 ORACLES: dict[str, str] = {

@@ -93,7 +93,12 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span; equal bytes have equal hashes. Spans must ascend and not overlap."""
-    out = np.empty(len(starts), np.uint64)
+    return beginnings(data, starts, ends, ())[0]
+
+
+def beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """A row of hashes of the whole spans, and one for each size with those of their first bytes (all, if fewer)."""
+    out = np.empty((1 + len(sizes), len(starts)), np.uint64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
@@ -104,7 +109,8 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         total[0] = 0
         np.cumsum(_BYTE[data[low:high]] * power[: high - low], out=total[1:])
         s, e = starts[at:upto] - low, ends[at:upto] - low
-        out[at:upto] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * _ODD
+        for row, stop in enumerate([e, *[np.minimum(e, s + size) for size in sizes]]):
+            out[row, at:upto] = (total[stop] - total[s]) * inverse[s] + (stop - s).astype(np.uint64) * _ODD
         at = upto
     return mix(out)
 
