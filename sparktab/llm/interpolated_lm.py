@@ -45,7 +45,7 @@ LN10 = float(np.log(10.0))
 
 PARTS = (
     "id long, trains boolean, n_tokens long, n_known long, base double, "
-    "unseen binary, groups binary, ratios binary, vocabulary long, cells binary, counts binary"
+    "unseen binary, n_seen int, seen binary, times binary, vocabulary long, cells binary, counts binary"
 )
 
 
@@ -105,6 +105,19 @@ class _Tokens:
         return number, ranked[heads], count, order[heads], own
 
 
+def _seven(keys: np.ndarray) -> bytes:
+    """Seven bytes of each key. With the bucket, drawn by another hash, 62 bits or more are compared, and more as the
+    buckets grow with the data; a rare shared key adds up two counts."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _eight(raw: bytes) -> np.ndarray:
+    seven = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    out = np.zeros((len(seven), 8), np.uint8)
+    out[:, :7] = seven
+    return out.reshape(-1).view("<u8")
+
+
 def _histogram_add(into: dict, cells: np.ndarray, counts: np.ndarray) -> None:
     for c, n in zip(cells.tolist(), counts.tolist()):
         into[c] = into.get(c, 0) + n
@@ -122,10 +135,10 @@ def count_parts(docs: DataFrame, id_col: str, text_col: str, trains: Callable[[i
         for kind, (bucket, keys, count) in enumerate(((t.word_bucket, t.word_keys, t.word_count), (t.pair_bucket, t.pair_keys, t.pair_count))):
             for b, of in blocks.by_bucket(bucket, n_buckets):
                 # words and pairs of a bucket are questions of their own: even and odd buckets
-                yield 2 * b + kind, block, len(of), keys[of].tobytes(), words.narrow(count[of])
+                yield 2 * b + kind, block, len(of), _seven(keys[of]), words.narrow(count[of])
 
     def reply(rows):
-        keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
+        keys = np.concatenate([_eight(r["keys"]) for r in rows])
         count = np.concatenate([words.widen(r["extra"], r["n"]) for r in rows]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
@@ -161,11 +174,12 @@ def count_parts(docs: DataFrame, id_col: str, text_col: str, trains: Callable[[i
         known = np.add.reduceat((word > 0).astype(np.int64), t.first[:-1]) if n_docs else []
         base = np.add.reduceat(log_word, t.first[:-1]) if n_docs else []
         seen = pair > 0
-        ratio = np.zeros(t.n, np.float64)
-        ratio[seen] = pair[seen] / (context[seen] * (word[seen] + 1.0))
+        ratio = (pair[seen] / (context[seen] * (word[seen] + 1.0))).astype("<f4").view(np.uint32).astype(np.int64)
+        # a document's tokens with the same group and ratio count as one value and its multiplicity
+        values, times = np.unique(t.of[seen] << 40 | group[seen] << 32 | ratio, return_counts=True)
+        cuts = np.searchsorted(values, np.arange(n_docs + 1) << 40)
         for i in range(n_docs):
-            own = slice(t.first[i], t.first[i + 1])
-            hit = seen[own]
+            own, hits = slice(t.first[i], t.first[i + 1]), slice(cuts[i], cuts[i + 1])
             docs_rows.append(
                 (
                     t.ids[i],
@@ -173,9 +187,10 @@ def count_parts(docs: DataFrame, id_col: str, text_col: str, trains: Callable[[i
                     int(t.first[i + 1] - t.first[i]),
                     int(known[i]),
                     float(base[i]),
-                    np.bincount(group[own][~hit], minlength=GROUPS).astype("<i4").tobytes(),
-                    group[own][hit].astype(np.uint8).tobytes(),
-                    ratio[own][hit].astype("<f4").tobytes(),
+                    np.bincount(group[own][~seen[own]], minlength=GROUPS).astype("<i4").tobytes(),
+                    int(cuts[i + 1] - cuts[i]),
+                    words.narrow(np.diff(values[hits] & 0xFFFFFFFFFF, prepend=0)),
+                    words.narrow(times[hits]),
                 )
             )
         # each training document held out: what all others say of its tokens
@@ -201,9 +216,9 @@ def _group(context: np.ndarray) -> np.ndarray:
 
 def _rows(docs_rows, vocabulary=None, cells=None, counts=None) -> pa.Table:
     names = [x.split()[0] for x in PARTS.split(", ")]
-    extra = (None, None, None, None, None, None, None, None, vocabulary, None if cells is None else cells.astype("<i8").tobytes(), None if counts is None else counts.astype("<i8").tobytes())
+    extra = (*[None] * 9, vocabulary, None if cells is None else cells.astype("<i8").tobytes(), None if counts is None else counts.astype("<i8").tobytes())
     rows = [(*r, None, None, None) for r in docs_rows] + [extra]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, ty) for c, ty in zip(zip(*rows), types)], names)
 
 
@@ -255,10 +270,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     def run(batches):
         for batch in batches:
             gain = []
-            for unseen, groups, ratios in zip(*(batch.column(c).to_pylist() for c in ("unseen", "groups", "ratios"))):
-                of = weights[np.frombuffer(groups, np.uint8)]
-                mixed = of * (np.frombuffer(ratios, "<f4").astype(np.float64) * scale) + (1.0 - of)
-                gain.append(float(np.frombuffer(unseen, "<i4") @ unseen_gain + np.log10(mixed).sum()))
+            for unseen, seen, n_seen, times in zip(*(batch.column(c).to_pylist() for c in ("unseen", "seen", "n_seen", "times"))):
+                value = np.cumsum(words.widen(seen, n_seen))
+                of = weights[value >> np.uint64(32)]
+                ratio = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32).astype(np.float64)
+                mixed = of * (ratio * scale) + (1.0 - of)
+                gain.append(float(np.frombuffer(unseen, "<i4") @ unseen_gain + np.log10(mixed) @ words.widen(times, n_seen)))
             base = batch.column("base").to_numpy() - batch.column("n_tokens").to_numpy() * np.log10(scale)
             n = batch.num_rows
             columns = [
@@ -274,4 +291,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "vocabulary", "base_score", "score"])
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double"
-    return parts.where("trains is not null").select("id", "trains", "n_tokens", "n_known", "base", "unseen", "groups", "ratios").mapInArrow(run, schema)
+    return parts.where("trains is not null").select("id", "trains", "n_tokens", "n_known", "base", "unseen", "seen", "n_seen", "times").mapInArrow(run, schema)
