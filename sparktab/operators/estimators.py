@@ -66,7 +66,7 @@ DEFAULTS: dict[str, dict] = {
         "random_state": 42,
     },
 }
-EXTRA_PARAMETERS = {"svm": {"n_fourier"}, "random_forest": {"max_bins"}, "xgboost": {"max_bins"}}
+EXTRA_PARAMETERS = {"svm": {"n_fourier"}, "adaboost": {"max_bins"}, "random_forest": {"max_bins"}, "xgboost": {"max_bins"}}
 SPARK_MAX_DEPTH = 30
 CHECKPOINT_ROUNDS = 10
 STUMP_BINS = 32
@@ -96,7 +96,7 @@ def fit_classifier(
     if name == "neural_network":
         return [_perceptron(p, _width(df), n_classes).fit(df)]
     if name == "adaboost":
-        return [fit_adaboost(df, n_classes, p["n_estimators"], p["learning_rate"])]
+        return [fit_adaboost(df, n_classes, p["n_estimators"], p["learning_rate"], p.get("max_bins", STUMP_BINS))]
     if name == "knn":
         return [fit_knn(df, n_classes, p["n_neighbors"], p["weights"], row_id)]
     fit_two = _fit_boosted if name == "xgboost" else _fit_svm
@@ -110,11 +110,17 @@ def _width(df: DataFrame) -> int:
     return meta["num_attrs"] if "num_attrs" in meta else df.select("features").first()[0].size
 
 
+def tree_depth(max_depth: int | None) -> int:
+    """None grows trees to the deepest level Spark has; an explicit deeper one is an error, not a cut."""
+    if max_depth is not None and max_depth > SPARK_MAX_DEPTH:
+        raise ValueError(f"max_depth is at most {SPARK_MAX_DEPTH}: {max_depth}")
+    return SPARK_MAX_DEPTH if max_depth is None else max_depth
+
+
 def _random_forest(p: dict) -> RandomForestClassifier:
-    depth = SPARK_MAX_DEPTH if p["max_depth"] is None else min(p["max_depth"], SPARK_MAX_DEPTH)
     return RandomForestClassifier(
         numTrees=p["n_estimators"],
-        maxDepth=depth,
+        maxDepth=tree_depth(p["max_depth"]),
         minInstancesPerNode=max(1, p["min_samples_split"] // 2),
         featureSubsetStrategy="sqrt",
         maxBins=p.get("max_bins", 32),
@@ -145,7 +151,7 @@ def _fit_boosted(df: DataFrame, p: dict) -> list:
     return [
         GBTClassifier(
             maxIter=p["n_estimators"],
-            maxDepth=min(p["max_depth"], SPARK_MAX_DEPTH),
+            maxDepth=tree_depth(p["max_depth"]),
             stepSize=p["learning_rate"],
             subsamplingRate=p["subsample"],
             featureSubsetStrategy="all" if columns >= 1.0 else str(columns),
@@ -355,7 +361,7 @@ class BoostedStumps(_Stage, Model):
         )
 
 
-def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float) -> BoostedStumps:
+def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float, bins: int = STUMP_BINS) -> BoostedStumps:
     """SAMME over depth-1 trees with split candidates at feature quantiles.
 
     Features are cut into bins once. A round is one aggregation: the weight per
@@ -364,7 +370,7 @@ def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float) -> Boo
     expression over the row's bins; the log weight so far is checkpointed every few
     rounds, which bounds that expression and the lineage.
     """
-    cuts = _quantile_cuts(df)
+    cuts = _quantile_cuts(df, bins)
     thresholds = F.array(*[F.array(*[F.lit(t) for t in c]).cast("array<double>") for c in cuts])
     binned = F.zip_with(
         vector_to_array("features"), thresholds, lambda x, ts: F.size(F.filter(ts, lambda t: t < x))
@@ -413,15 +419,15 @@ def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float) -> Boo
     return BoostedStumps(stumps=stumps, size=n_classes)
 
 
-def _quantile_cuts(df: DataFrame) -> list[list[float]]:
+def _quantile_cuts(df: DataFrame, bins: int) -> list[list[float]]:
     """Ascending split candidates of every feature, from one sketch pass."""
     width = _width(df)
-    shares = [i / STUMP_BINS for i in range(1, STUMP_BINS)]
+    shares = [i / bins for i in range(1, bins)]
     x = vector_to_array("features")
     row = df.select(x.alias("x")).agg(
         *[
             F.array_append(
-                F.percentile_approx(F.col("x")[j], shares, 100 * STUMP_BINS), F.min(F.col("x")[j])
+                F.percentile_approx(F.col("x")[j], shares, 100 * bins), F.min(F.col("x")[j])
             ).alias(f"q{j}")
             for j in range(width)
         ]

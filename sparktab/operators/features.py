@@ -17,8 +17,6 @@ from sparktab.functions.quantiles import exact_quantiles
 from sparktab.functions.scalars import nan_to_null
 from sparktab.operators.profile import category_lists, modes, numeric_columns
 
-MAX_CATEGORIES = 1_000_000
-
 
 class _Stage(DefaultParamsReadable, DefaultParamsWritable):
     """Parameters that are plain JSON values, set and read by name."""
@@ -197,14 +195,7 @@ class TableEncoder(_Stage, Estimator):
         for i, c in enumerate(numeric):
             x = nan_to_null(c, types[c]).cast("double")
             exprs += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-        exprs += [
-            F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(categorical)
-        ]
         row = df.agg(*exprs).first()
-        wide = [c for i, c in enumerate(categorical) if row[f"d{i}"] > MAX_CATEGORIES]
-        if wide:
-            raise ValueError(f"Too many categories to encode: {wide}")
-
         counts = {c: row[f"k{i}"] for i, c in enumerate(numeric)}
         medians = {c: q[0] for c, q in exact_quantiles(df, numeric, [0.5], counts=counts).items()}
         labels, top = category_lists(df, categorical)

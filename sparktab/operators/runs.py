@@ -36,7 +36,6 @@ RUNS_SCHEMA = (
 )
 ACTIVATIONS_SCHEMA = "kind string, version string, ts timestamp"
 DELETES_SCHEMA = "run_id string, ts timestamp"
-LIST_LIMIT = 5000
 
 
 def parse_metadata(raw: DataFrame) -> DataFrame:
@@ -95,14 +94,14 @@ def list_runs(
     runs: DataFrame,
     activations: DataFrame,
     deletes: DataFrame,
-    limit: int = LIST_LIMIT,
+    limit: int | None = None,
     algorithm: str | None = None,
 ) -> DataFrame:
-    """The newest runs with an ``is_active`` flag."""
+    """All runs, newest first, with an ``is_active`` flag; with a limit, the newest so many."""
     listed = live_runs(runs, deletes)
     if algorithm is not None:
         listed = listed.where(F.col("algorithm") == algorithm)
-    newest = listed.orderBy(F.desc("start_time"), F.desc("run_id")).limit(limit)
+    newest = listed if limit is None else listed.orderBy(F.desc("start_time"), F.desc("run_id")).limit(limit)
     # The pointer is one row.
     pointer = active_version(activations, deletes).select(
         F.col("version").alias("run_id"), F.lit(True).alias("_active")

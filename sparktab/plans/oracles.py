@@ -388,7 +388,7 @@ ORACLES["run_metadata"] = f"WITH {RUNS} SELECT {_ENTRY} FROM runs"
 ORACLES["runs_list"] = f"""
 WITH {RUNS}, {_ACTIVE}
 SELECT {_ENTRY}, COALESCE(run_id = (SELECT version FROM active), FALSE) AS is_active
-FROM live ORDER BY start_time DESC, run_id DESC LIMIT 5000"""
+FROM live ORDER BY start_time DESC, run_id DESC"""
 ORACLES["runs_by_algorithm"] = f"""
 WITH {RUNS} SELECT {_ENTRY} FROM live WHERE algorithm = '2-HIGH'"""
 ORACLES["active_model"] = f"WITH {_ACTIVE} SELECT version FROM active"

@@ -216,7 +216,7 @@ class Warehouse:
     def live_runs(self) -> DataFrame:
         return runs.live_runs(self.table("runs"), self.table("run_deletes"))
 
-    def list_models(self, algorithm: str | None = None, limit: int = runs.LIST_LIMIT) -> DataFrame:
+    def list_models(self, algorithm: str | None = None, limit: int | None = None) -> DataFrame:
         """The newest runs, newest first."""
         return runs.list_runs(
             self.table("runs"), self._model_activations(), self.table("run_deletes"), limit, algorithm

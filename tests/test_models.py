@@ -85,3 +85,9 @@ def test_parameters():
         estimators.resolve_parameters("bayes")
     with pytest.raises(ValueError, match="Unknown parameters"):
         estimators.resolve_parameters("svm", {"depth": 3})
+
+
+def test_a_deeper_tree_than_spark_has_is_an_error():
+    assert estimators.tree_depth(None) == 30 and estimators.tree_depth(8) == 8
+    with pytest.raises(ValueError, match="max_depth"):
+        estimators.tree_depth(31)

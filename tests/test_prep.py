@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sparktab.operators import prep, profile
 
@@ -75,3 +76,9 @@ def test_explore_has_all_parts(df):
     assert {"shape", "histogram", "correlation", "pair_grid", "describe_categorical"} <= set(parts)
     for frame in parts.values():
         frame.collect()
+
+
+def test_a_target_may_have_many_classes(spark):
+    df = spark.range(3000).select(F.col("id").alias("row_id"), F.col("id").alias("x"), (F.col("id") % 1500).alias("y"))
+    counts = prep.validate(df, "y")
+    assert len(counts) == 1500 and set(counts.values()) == {2}
