@@ -36,7 +36,7 @@ END_ID = 0
 PART_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 CACHE_PIECES = 150_000
-TEXT_RUN = 4 << 20
+TEXT_RUN, ID_RUN = 2 << 20, 1 << 18
 
 IDS = "id long, n int, ids binary"
 CODED = "part int, id long, n int, marks binary, code binary"
@@ -44,6 +44,7 @@ FILE = "part int, block int, first_token long, ids array<long>, n array<int>, si
 
 #: A space before anything but white space always starts a new piece in the tokenizer's own split.
 _CUT = re.compile(r"(?= \S)")
+_SPACES = re.compile(r" (?:\s|\Z)")
 
 
 class PieceEncoder:
@@ -56,9 +57,16 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}  # of recent pieces; older: of those before
         self.older: dict[str, bytes] = {}
 
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The text cut before every space that white space does not follow."""
+        if "\0" in text or _SPACES.search(text):
+            return _CUT.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit numbers."""
-        split = [_CUT.split(t) if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
@@ -72,6 +80,18 @@ class PieceEncoder:
         return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
+_ENCODERS: dict[int, PieceEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> PieceEncoder:
+    """The encoder of a tokenizer, made once in each worker; later tasks find the pieces it knows."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(tokenizer_json)
+    return _ENCODERS[key]
+
+
 def in_runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to most, or single larger rows."""
     low, held = 0, 0
@@ -88,7 +108,7 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, end
     """Rows (id, n, ids): the ids of the text and the end id, packed."""
 
     def run(batches):
-        encoder = PieceEncoder(tokenizer_json)
+        encoder = encoder_of(tokenizer_json)
         for batch in batches:
             text = batch.column("text")
             text = text.fill_null("") if text.null_count else text
@@ -113,8 +133,9 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                total += np.bincount(words.widen(ids, n).astype(np.int64), minlength=vocabulary)
+            for low, high in in_runs(batch.column("n").to_pylist(), ID_RUN):
+                some = zip(batch.column("n")[low:high].to_pylist(), batch.column("ids")[low:high].to_pylist())
+                total += np.bincount(np.concatenate([words.widen(ids, n) for n, ids in some]).astype(np.int64), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
@@ -241,7 +262,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "do
     def run(batches):
         codes = canonical(lengths)
         for batch in batches:
-            for low, high in in_runs(batch.column("n").to_pylist(), TEXT_RUN // 4):
+            for low, high in in_runs(batch.column("n").to_pylist(), ID_RUN):
                 counts = batch.column("n")[low:high].to_numpy().astype(np.int64)
                 packed = batch.column("ids")[low:high].to_pylist()
                 ids = np.concatenate([words.widen(x, n) for x, n in zip(packed, counts)]).astype(np.int64)
