@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sparktab.llm import blocks, words
 from sparktab.llm.huffman import in_runs
 
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_RUNS = 2_000, 50_000, 30_000
+SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_RUNS = 1_500, 50_000, 30_000
 RUN = 32
 CONTEXTS, PURITY = 4, 0.9
 FEATURE_BITS = 18
@@ -67,9 +67,11 @@ class Tokens:
         lower = words.LOWER[self.data]
         self.starts, self.ends, self.first = words.spans(lower, self.offsets, words.ALNUM)
         rows = words.beginnings(lower, self.starts, self.ends, PREFIXES)
-        self.word = rows[0]
-        kinds = np.arange(len(rows), dtype=np.uint64)[:, None]
-        self.features = (words.mix(rows + kinds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
+        self.features = np.empty(rows.shape, np.int32)
+        for kind, row in enumerate(rows):  # row by row, for memory
+            own = words.mix(row + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            self.features[kind] = own >> np.uint64(64 - FEATURE_BITS)
+        self.word = rows[0].copy()
         self.of = words.text_of(self.first)
         place = np.arange(len(self.of)) - self.first[self.of]
         self.column = place % RUN
