@@ -18,7 +18,9 @@ gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,7 +37,7 @@ STRIDE = 128
 END_ID = 0
 PART_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 TEXT_RUN, ID_RUN = 2 << 20, 1 << 18
 
 IDS = "id long, n int, ids binary"
@@ -45,12 +47,16 @@ FILE = "part int, block int, first_token long, ids array<long>, n array<int>, si
 #: A space before anything but white space always starts a new piece in the tokenizer's own split.
 _CUT = re.compile(r"(?= \S)")
 _SPACES = re.compile(r" (?:\s|\Z)")
+#: So does a full stop or comma after a letter.
+_MARKED = re.compile(r".*[A-Za-z][.,]", re.DOTALL)
 
 
 class PieceEncoder:
     """Ids of texts, piece by piece through the tokenizers library; the ids of recent pieces are kept."""
 
     def __init__(self, tokenizer_json: str):
+        # A task has one core; threads of the library's own would only compete with other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -64,19 +70,31 @@ class PieceEncoder:
             return _CUT.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def _recall(self, pieces: set[str]) -> list[str]:
+        """The pieces whose ids are not kept; those kept of older ones count as recent again."""
+        known, older = self.known, self.older
+        fresh = [p for p in pieces if p not in known]
+        known.update((p, older[p]) for p in fresh if p in older)
+        return [p for p in fresh if p not in older]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for low in range(0, len(pieces), 4096):
+            some = pieces[low : low + 4096]
+            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids = coded.ids
+                self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit numbers."""
         split = [self.split(t) if t else [] for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        fresh = {p for pieces in split for p in pieces if p not in known}
-        known.update((p, older[p]) for p in fresh if p in older)
-        fresh = [p for p in fresh if p not in known]
-        for low in range(0, len(fresh), 4096):
-            some = fresh[low : low + 4096]
-            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = np.array(coded.ids, "<u4").tobytes()
+        known = self.known
+        fresh = self._recall({p for pieces in split for p in pieces})
+        marked = [p for p in fresh if _MARKED.fullmatch(p)]
+        whole = set(fresh).difference(marked)
+        self._learn(self._recall(whole | {p[:-1] for p in marked} | {p[-1] for p in marked}))
+        known.update((p, known[p[:-1]] + known[p[-1]]) for p in marked)
         return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
