@@ -1,6 +1,7 @@
 """Exact k nearest neighbours between two tables of vectors.
 
-The training rows are grouped around a bounded number of pivot rows. A query first
+The training rows are grouped around pivot rows, whose number grows with the table: cells
+of ROWS_PER_CELL rows, beyond that size squared as many cells as rows in a cell. A query first
 visits the cells nearest to it; the k-th distance found there then rules out, by the
 triangle inequality, every cell that cannot hold a closer row, and only the others
 are visited. Cells are cut into tiles of bounded size on both sides, so a cell that
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from sparktab.session import cut_lineage
 
 TILE_ROWS = 8192
-MAX_PIVOTS = 256
 ROWS_PER_CELL = 4096
+GAPS_AT_ONCE = 1 << 22
 SLACK = 1e-9
 
 
@@ -70,37 +71,39 @@ def _tile_topk(k: int):
     return best
 
 
-def _tile_join(queries: DataFrame, train: DataFrame, cell_rows: list[int], k: int) -> DataFrame:
-    """Candidates (qid, tid, label, distance) of queries(cell, qid, vec) in their cells."""
-    visits = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    splits = F.array(*[F.lit(max(1, math.ceil(n / TILE_ROWS))) for n in cell_rows])
-    chunks = F.array(
-        *[F.lit(max(1, math.ceil(visits.get(c, 0) / TILE_ROWS))) for c in range(len(cell_rows))]
+def _tile_join(queries: DataFrame, train: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """Candidates (qid, tid, label, distance) of queries(cell, qid, vec) in their cells(cell, n)."""
+
+    def tiles(n: str) -> Column:
+        return F.ceil(F.col(n) / TILE_ROWS).cast("int")
+
+    visits = queries.groupBy("cell").agg(F.count("*").alias("visits"))
+    cut = cut_lineage(
+        cells.join(visits, "cell").select("cell", tiles("n").alias("subs"), tiles("visits").alias("chunks"))
     )
-    sub_count = F.element_at(splits, F.col("cell") + 1)
-    chunk_count = F.element_at(chunks, F.col("cell") + 1)
 
-    def part(column: str, count: Column) -> Column:
-        return F.pmod(F.xxhash64(column), count).cast("int")
+    def part(column: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
 
-    def every(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), count - 1))
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    # Fresh aliases, because both sides may come from the same table.
-    left = queries.select(
+    # One row per cell, at most the square root of the training rows. Fresh aliases, because
+    # both sides may come from the same table.
+    left = queries.join(F.broadcast(cut), "cell").select(
         F.col("cell").alias("cell"),
         F.col("qid").alias("qid"),
         F.col("vec").alias("vec"),
-        part("qid", chunk_count).alias("chunk"),
-        every(sub_count).alias("sub"),
+        part("qid", "chunks").alias("chunk"),
+        every("subs").alias("sub"),
     )
-    right = train.where(F.col("cell").isin(*visits)).select(
+    right = train.join(F.broadcast(cut), "cell").select(
         "cell",
         "tid",
         "label",
         "vec",
-        part("tid", sub_count).alias("sub"),
-        every(chunk_count).alias("chunk"),
+        part("tid", "subs").alias("sub"),
+        every("chunks").alias("chunk"),
     )
     keys = ["cell", "sub", "chunk"]
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *train.schema]}
@@ -120,68 +123,71 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """
     n = train.count()
     k = min(k, n)
-    n_cells = min(MAX_PIVOTS, max(1, n // ROWS_PER_CELL))
-    if n_cells == 1:
-        one = F.lit(0).alias("cell")
-        found = _tile_join(queries.select(one, "qid", "vec"), train.select("*", one), [n], k)
-        return _keep_topk(found, k)
+    n_cells = max(1, math.ceil(n / max(ROWS_PER_CELL, math.isqrt(n))))
 
-    # At most MAX_PIVOTS rows, chosen by hash so that a retry chooses the same ones.
+    # Chosen by hash so that a retry chooses the same ones.
     chosen = train.orderBy(F.md5(F.col("tid").cast("string")), "tid").limit(n_cells)
     pivots = np.array([r["vec"] for r in chosen.select("vec").collect()])
 
+    def slices(vectors: pd.Series) -> Iterator[np.ndarray]:
+        """The vectors in parts whose distances to all pivots fit in memory."""
+        step = max(1, GAPS_AT_ONCE // max(1, len(pivots)))
+        for low in range(0, len(vectors), step):
+            yield np.stack(vectors.iloc[low : low + step].to_numpy())
+
     @F.pandas_udf("struct<cell:int,gap:double>")
     def to_cell(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy())
-        cell = _pairwise(x, pivots).argmin(1).astype("int32")
-        gap = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-        return pd.DataFrame({"cell": cell, "gap": gap})
+        cells, gaps = [], []
+        for x in slices(vectors):
+            cell = _pairwise(x, pivots).argmin(1).astype("int32")
+            cells.append(cell)
+            gaps.append(np.sqrt(((x - pivots[cell]) ** 2).sum(1)))
+        return pd.DataFrame({"cell": np.concatenate(cells), "gap": np.concatenate(gaps)})
 
     placed = cut_lineage(
         train.withColumn("at", to_cell("vec")).select("tid", "label", "vec", "at.cell", "at.gap")
     )
-    stats = {
-        r["cell"]: (r["n"], r["radius"])
-        for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
-    }
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
+    stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.collect()}
     rows = np.array([stats.get(c, (0, 0.0))[0] for c in range(n_cells)])
     radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(n_cells)])
     placed = placed.drop("gap")
 
     def pivot_gaps(x: np.ndarray) -> np.ndarray:
-        return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
+        gaps = [np.sqrt(((x - p) ** 2).sum(1)) for p in pivots]
+        return np.stack(gaps, axis=1) if gaps else np.empty((len(x), 0))
 
-    def home_cells(x: np.ndarray) -> list[np.ndarray]:
+    def home_cells(gaps: np.ndarray) -> list[np.ndarray]:
         """The nearest cells that together hold at least k rows."""
-        order = np.argsort(pivot_gaps(x), axis=1, kind="stable")
+        order = np.argsort(gaps, axis=1, kind="stable")
         held = np.cumsum(rows[order], axis=1)
         enough = (held < k).sum(1) + 1
         return [o[:e].astype("int32") for o, e in zip(order, enough)]
 
     @F.pandas_udf("array<int>")
-    def first_cells(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in vectors:
-            yield pd.Series(home_cells(np.stack(v.to_numpy())))
+    def first_cells(vectors: pd.Series) -> pd.Series:
+        return pd.Series([home for x in slices(vectors) for home in home_cells(pivot_gaps(x))])
 
     @F.pandas_udf("array<int>")
-    def other_cells(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for v, bound in parts:
-            x = np.stack(v.to_numpy())
-            reach = bound.to_numpy()[:, None] * (1 + SLACK) + SLACK
-            close = (pivot_gaps(x) - radius[None, :] <= reach) & (rows > 0)[None, :]
-            for i, home in enumerate(home_cells(x)):
+    def other_cells(vectors: pd.Series, bound: pd.Series) -> pd.Series:
+        out, reach = [], bound.to_numpy() * (1 + SLACK) + SLACK
+        for x in slices(vectors):
+            gaps = pivot_gaps(x)
+            close = (gaps - radius[None, :] <= reach[len(out) : len(out) + len(x), None]) & (rows > 0)[None, :]
+            for i, home in enumerate(home_cells(gaps)):
                 close[i, home] = False
-            yield pd.Series([np.nonzero(c)[0].astype("int32") for c in close])
+            out += [np.nonzero(c)[0].astype("int32") for c in close]
+        return pd.Series(out)
 
     near = queries.select(F.explode(first_cells("vec")).alias("cell"), "qid", "vec")
-    first = cut_lineage(_keep_topk(_tile_join(near, placed, rows.tolist(), k), k).drop("rank"))
+    first = cut_lineage(_keep_topk(_tile_join(near, placed, cells, k), k).drop("rank"))
     bounds = first.groupBy("qid").agg(F.max("distance").alias("bound"))
     rest = cut_lineage(
         queries.join(bounds, "qid").select(
             F.explode(other_cells("vec", "bound")).alias("cell"), "qid", "vec"
         )
     )
-    second = _tile_join(rest, placed, rows.tolist(), k)
+    second = _tile_join(rest, placed, cells, k)
     return _keep_topk(first.unionByName(second), k)
 
 

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from sparktab.session import combine_single_rows
 
 SCORES_PER_BUCKET = 250_000
-ONE_BUCKET_SCORES = 1_000_000
-MAX_BUCKETS = 4096
 
 
 def confusion_counts(scored: DataFrame, label: str = "label", prediction: str = "prediction"):
@@ -201,16 +199,14 @@ def probability_losses(
     )
 
 
-def _score_counts(
-    rows: DataFrame, group: Column, score: Column, positive: Column
-) -> tuple[DataFrame, bool]:
-    """(grp, score, pos, neg, bucket) with rows folded per score, and whether the scores
-    are cut into several buckets.
+def _score_counts(rows: DataFrame, group: Column, score: Column, positive: Column) -> DataFrame:
+    """(grp, score, pos, neg, bucket) with rows folded per score and scores cut into buckets.
 
     Scores are folded before any ordering, so a score shared by many rows costs
-    nothing. Few distinct scores stay in one bucket. Otherwise the cut points come from
-    a sketch and are plain constants, which keeps the bucket of a score the same in
-    every use and after any task retry.
+    nothing. The number of buckets grows with the distinct scores. The cut points come
+    from a sketch and are plain constants, which keeps the bucket of a score the same in
+    every use and after any task retry. Buckets rise with the scores; a null score is
+    below all others and NaN above.
     """
     flat = rows.select(
         group.alias("grp"), score.cast("double").alias("score"), positive.alias("positive")
@@ -219,19 +215,20 @@ def _score_counts(
     folded = flat.groupBy("grp", "score").agg(
         F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
-    if distinct <= ONE_BUCKET_SCORES:
-        return folded.withColumn("bucket", F.lit(0.0)), False
-    buckets = min(MAX_BUCKETS, math.ceil(distinct / SCORES_PER_BUCKET))
+    buckets = max(1, math.ceil(distinct / SCORES_PER_BUCKET))
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = flat.agg(F.percentile_approx("score", shares, 4 * buckets)).first()[0]
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="score", outputCol="bucket")
-    return cutter.transform(folded), True
+    cuts = folded.agg(F.percentile_approx("score", shares, 4 * buckets)).first()[0] if shares else []
+    splits = [-math.inf, *sorted({0.0, *(c for c in cuts or [] if math.isfinite(c))}), math.inf]
+    cutter = Bucketizer(splits=splits, inputCol="_score", outputCol="bucket", handleInvalid="keep")
+    placed = cutter.transform(folded.withColumn("_score", F.coalesce("score", F.lit(0.0))))
+    return placed.withColumn(
+        "bucket", F.when(F.col("score").isNull(), F.lit(-1.0)).otherwise(F.col("bucket"))
+    ).drop("_score")
 
 
 def auc_by_group(rows: DataFrame, group: Column, score: Column, positive: Column) -> DataFrame:
     """(grp, auc): share of (positive, negative) pairs ordered right, ties half."""
-    counts, _ = _score_counts(rows, group, score, positive)
+    counts = _score_counts(rows, group, score, positive)
     below = Window.partitionBy("grp", "bucket").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -278,7 +275,7 @@ def roc_auc(
 
 def curve_points(scored: DataFrame, score: Column, positive: Column) -> DataFrame:
     """(threshold, tp, fp, pos_total, neg_total) for each distinct score."""
-    counts, several = _score_counts(scored, F.lit(1), score, positive)
+    counts = _score_counts(scored, F.lit(1), score, positive)
     inside = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -287,11 +284,7 @@ def curve_points(scored: DataFrame, score: Column, positive: Column) -> DataFram
         F.col("score").alias("threshold"),
         F.sum("pos").over(inside).alias("tp"),
         F.sum("neg").over(inside).alias("fp"),
-        F.sum("pos").over(Window.partitionBy("bucket")).alias("pos_total"),
-        F.sum("neg").over(Window.partitionBy("bucket")).alias("neg_total"),
     )
-    if not several:
-        return points.drop("bucket")
     sums = counts.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     everything = Window.partitionBy(F.lit(1))
     higher = everything.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -302,10 +295,9 @@ def curve_points(scored: DataFrame, score: Column, positive: Column) -> DataFram
         F.sum("bp").over(everything).alias("pos_total"),
         F.sum("bn").over(everything).alias("neg_total"),
     )
-    # At most MAX_BUCKETS rows of offsets.
+    # One row for each SCORES_PER_BUCKET scores; the plan broadcasts it only while it is small.
     return (
-        points.drop("pos_total", "neg_total")
-        .join(F.broadcast(offsets), "bucket")
+        points.join(offsets, "bucket")
         .select(
             "threshold",
             (F.col("tp") + F.col("tp0")).alias("tp"),

@@ -55,21 +55,26 @@ class Warehouse:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def append(self, name: str, rows: list[tuple]) -> None:
-        df = self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
+        df = self.spark.createDataFrame(rows, SCHEMAS[name])
         df.write.mode("append").parquet(f"{self.root}/{name}")
 
-    def _clear(self, name: str, keep: DataFrame | None = None) -> None:
-        df = keep if keep is not None else self.spark.createDataFrame([], SCHEMAS[name])
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
-
     def activate(self, kind: str, version: str) -> None:
         self.append("activations", [(kind, version, now())])
 
     # Datasets
 
+    def _since_reset(self, rows: DataFrame, ts: str) -> DataFrame:
+        """The rows made after the last reset of the datasets."""
+        resets = self.table("activations").where("kind = 'dataset_reset'")
+        last = resets.agg(F.max("ts")).first()[0]
+        return rows if last is None else rows.where(F.col(ts) > F.lit(last))
+
+    def dataset_versions(self) -> DataFrame:
+        return self._since_reset(self.table("dataset_versions"), "created_at")
+
     def list_datasets(self) -> DataFrame:
         """All versions, oldest first, with ``is_active``."""
-        versions = self.table("dataset_versions")
+        versions = self.dataset_versions()
         active = self.active_dataset()
         return versions.withColumn(
             "is_active", F.col("version") == F.lit(active) if active else F.lit(False)
@@ -77,14 +82,14 @@ class Warehouse:
 
     def active_dataset(self) -> str | None:
         """The last activated version, else the last registered one."""
-        versions = self.table("dataset_versions")
-        events = self.table("activations").where("kind = 'dataset'")
+        versions = self.dataset_versions()
+        events = self._since_reset(self.table("activations").where("kind = 'dataset'"), "ts")
         marked = events.select("version", "ts", F.lit(1).alias("kind"))
         added = versions.select("version", F.col("created_at").alias("ts"), F.lit(0).alias("kind"))
         return marked.unionByName(added).agg(F.max(F.struct("kind", "ts", "version"))["version"]).first()[0]
 
     def _entry(self, version: str):
-        row = self.table("dataset_versions").where(F.col("version") == version).first()
+        row = self.dataset_versions().where(F.col("version") == version).first()
         if row is None:
             raise ValueError(f"Dataset version not found: {version}")
         return row
@@ -129,7 +134,7 @@ class Warehouse:
 
     def bootstrap(self, path: str, version: str) -> dict | None:
         """Seed an empty registry from a default file, if that file is there."""
-        if not self.table("dataset_versions").isEmpty() or not self._exists(path):
+        if not self.dataset_versions().isEmpty() or not self._exists(path):
             return None
         return self.upload(path, version)
 
@@ -168,16 +173,14 @@ class Warehouse:
 
     def reset_datasets(self, default_path: str | None = None, default_version: str = "default") -> dict:
         """Remove all versions; seed again from the default file if one is given."""
-        removed = self.table("dataset_versions").count()
-        self._clear("dataset_versions")
-        models = self.table("activations").where("kind <> 'dataset'")
-        self._clear("activations", self.spark.createDataFrame(models.collect(), models.schema))
+        removed = self.dataset_versions().count()
+        self.activate("dataset_reset", "")
         self._delete(f"{self.root}/datasets")
         if default_path is not None:
             self.bootstrap(default_path, default_version)
         return {
             "removed_dataset_files": removed,
-            "dataset_registry_entries": self.table("dataset_versions").count(),
+            "dataset_registry_entries": self.dataset_versions().count(),
             "active_dataset": self.active_dataset(),
         }
 

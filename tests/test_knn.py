@@ -42,6 +42,11 @@ def test_more_neighbours_than_rows(spark):
     assert knn.nearest(*tables(spark, t, q), 5).count() == 2
 
 
+def test_no_training_rows(spark):
+    queries, train = tables(spark, np.array([[0.0]]), np.array([[0.2]]))
+    assert knn.nearest(queries, train.where("tid < 0"), 5).count() == 0
+
+
 def test_votes(spark):
     near = spark.createDataFrame(
         [(0, 1.0, 0.5), (0, 0.0, 1.0), (0, 0.0, 1.0), (1, 1.0, 0.0), (1, 0.0, 0.1), (1, 0.0, 0.1)],

@@ -67,13 +67,20 @@ def test_auc_mirrors_and_buckets_agree(ranked, monkeypatch):
     plain, curve = auc(ranked), metrics.curve_points(ranked, F.col("s"), F.col("label") == 1)
     assert auc(ranked, flip=True) == pytest.approx(1 - plain)
     single = sorted(map(tuple, curve.select("threshold", "tp", "fp", "pos_total").collect()))
-    monkeypatch.setattr(metrics, "ONE_BUCKET_SCORES", 5)
     monkeypatch.setattr(metrics, "SCORES_PER_BUCKET", 20)
     assert auc(ranked) == pytest.approx(plain, rel=1e-12)
     cut = metrics.curve_points(ranked, F.col("s"), F.col("label") == 1)
     assert sorted(map(tuple, cut.select("threshold", "tp", "fp", "pos_total").collect())) == single
 
 
+def test_null_scores_rank_below_and_nan_above(spark, monkeypatch):
+    rows = [(0, None), (1, -0.5), (0, -0.25), (1, 0.5), (1, 0.75), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "label int, s double")
+    monkeypatch.setattr(metrics, "SCORES_PER_BUCKET", 2)
+    points = metrics.curve_points(df, F.col("s"), F.col("label") == 1).orderBy(F.desc("threshold")).collect()
+    assert [(r["tp"], r["fp"]) for r in points] == [(0, 1), (1, 1), (2, 1), (2, 2), (3, 2), (3, 3)]
+
+
 def test_one_class_has_no_auc(spark):
     df = scored(spark, [(0, 0, [0.9, 0.1])])
     assert metrics.roc_auc(df, [0, 1]).first()["roc_auc"] is None
