@@ -605,6 +605,69 @@ def dataset_list(spark, sf):
     )
 
 
+@query
+def datasets_reset(spark, sf):
+    """Customers and orders removed, orders seeded again: the list left and how many went."""
+    house = _bench(spark).warehouse
+    house.register(fx.table(spark, sf, "customer"), "customers")
+    house.upload(f"{sf}/orders.parquet", "orders")
+    gone = house.reset_datasets(f"{sf}/orders.parquet", "seed")["removed_dataset_files"]
+    return house.list_datasets().select(
+        "version", "rows", "is_active", F.lit(gone).cast("bigint").alias("removed")
+    )
+
+
+def _run_house(spark, sf):
+    """A warehouse that holds the run records and their deletions."""
+    house = _bench(spark).warehouse
+    fx.runs_fixture(spark, sf).write.parquet(f"{house.root}/runs")
+    fx.run_deletes(spark, sf).write.parquet(f"{house.root}/run_deletes")
+    return house
+
+
+@query
+def runs_rollback(spark, sf):
+    """The newest run active, then the first id of all again: the flags of all runs."""
+    house = _run_house(spark, sf)
+    house.rollback(house.list_models().first()["run_id"])
+    house.rollback(house.live_runs().agg(F.min("run_id")).first()[0])
+    return house.list_models().select("run_id", "algorithm", "is_active")
+
+
+@query
+def runs_reset(spark, sf):
+    """What a reset of all runs counts, and the runs deleted afterwards."""
+    house = _run_house(spark, sf)
+    counts = house.reset_models()
+    return house.table("run_deletes").agg(F.count_distinct("run_id").alias("deleted")).select(
+        "deleted", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]
+    )
+
+
+@query
+def time_ids(spark, sf):
+    """Every order's date as sortable id text."""
+    orders = fx.table(spark, sf, "orders")
+    made = scalars.timestamp_id(F.col("o_orderdate").cast("timestamp"))
+    return orders.select("o_orderkey", made.alias("time_id"))
+
+
+@query
+def validated_classes(spark, sf):
+    """The class counts of a prepared table that passes every check."""
+    df = fx.clf_base(spark, sf)
+    counts = prep.validate(prep.prepare(df, "target", row_id="row_id"), "target", "row_id")
+    return spark.createDataFrame(list(counts.items()), f"target {dict(df.dtypes)['target']}, n bigint")
+
+
+@query
+def labels_attached(spark, sf):
+    """The label of every row attached again to its features by row id."""
+    df = fx.clf_base(spark, sf)
+    x, y = df.drop("target"), df.select("row_id", "target")
+    return x.join(y, "row_id").select("row_id", "l_quantity", "target")
+
+
 def _results_frame(spark, results):
     names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
     rows = [

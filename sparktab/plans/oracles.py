@@ -506,3 +506,17 @@ SELECT 'lines' AS version, b AS "rows", CAST(8 AS BIGINT) AS cols,
        CAST(NULL AS VARCHAR) AS source_version, CAST(NULL AS BIGINT) AS rows_removed,
        FALSE AS is_active FROM c
 UNION ALL SELECT 'lines_clean', a, 8, 'lines', b - a, TRUE FROM c"""
+ORACLES["datasets_reset"] = """
+SELECT 'seed' AS version, COUNT(*) AS "rows", TRUE AS is_active, CAST(2 AS BIGINT) AS removed FROM orders"""
+ORACLES["runs_rollback"] = f"""
+WITH {RUNS} SELECT run_id, algorithm, run_id = (SELECT MIN(run_id) FROM live) AS is_active FROM live"""
+ORACLES["runs_reset"] = f"""
+WITH {RUNS}, n AS (SELECT COUNT(*) AS live FROM live)
+SELECT live + (SELECT COUNT(*) FROM runs WHERE price < 25000) AS deleted, live AS removed_model_files,
+       CAST(0 AS BIGINT) AS model_registry_entries, CAST(0 AS BIGINT) AS experiment_entries FROM n"""
+ORACLES["time_ids"] = """
+SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y%m%d_%H%M%S_%f') AS time_id FROM orders"""
+ORACLES["validated_classes"] = f"""
+WITH {BASE} SELECT target, COUNT(*) AS n FROM base GROUP BY target"""
+ORACLES["labels_attached"] = f"""
+WITH {BASE} SELECT row_id, l_quantity, target FROM base"""
