@@ -678,19 +678,11 @@ def _results_frame(spark, results):
     return spark.createDataFrame(rows, types + ", ".join(f"{n} double" for n in names))
 
 
-QUICK = {
-    "random_forest": {"n_estimators": 20, "max_depth": 5},
-    "logistic_regression": {"max_iter": 50},
-}
-
-
 @query
 def train_compare(spark, sf):
     bench = _bench(spark)
     bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
-    out = bench.train(
-        workflows.TrainRequest("lines", models=["logreg", "rf"], hyperparameters=QUICK)
-    )
+    out = bench.train(workflows.TrainRequest("lines", models=["logreg", "rf"]))
     return _results_frame(spark, out["results"])
 
 
@@ -747,7 +739,7 @@ def tune_then_train(spark, sf):
 def _logged(spark, sf):
     bench = _bench(spark)
     bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
-    request = workflows.TrainRequest("lines", models=["logreg"], hyperparameters=QUICK)
+    request = workflows.TrainRequest("lines", models=["logreg"])
     return bench, bench.train(request)["best_model"]["model_version"]
 
 
