@@ -184,6 +184,19 @@ def test_pieces_keep_the_tokenizers_ids(piece):
     assert encoder([piece]) == [whole] and "".join(encoder.split(piece)) == piece
 
 
+def test_kept_pieces_give_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(huffman, "CACHE_PIECES", 50)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = huffman.PieceEncoder(file.read())
+    rng = np.random.default_rng(7)
+    parts = ["a", "B", "é", "²", "7", " ", "  ", "\n", ".", ",", "'s", "<|endoftext|>", "_", "\0", "\u3000", "日"]
+    made = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
+    for low in range(0, len(made), 300):
+        whole = encoder.tokenizer.encode_batch(made[low : low + 300], add_special_tokens=False)
+        assert encoder(made[low : low + 300]) == [np.array(x.ids, "<u4").tobytes() for x in whole]
+
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     emission, step = rng.normal(size=(1, 4)), rng.normal(size=(2, 2))
