@@ -40,6 +40,7 @@ from sparktab.session import cut_lineage
 
 SHINGLE, BANDS, TAKE, SIMILARITY = 5, 40, 8, 0.8
 SLICE = 1 << 14
+SALTS = 16
 TEXT_RUN = 2 << 20
 
 _RANDOM = words.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -232,6 +233,50 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def unsettled(representatives: DataFrame, open_pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node, class, most): the runs that hold more than one class, with most, the largest class of each. Such a run
+    has neighbours of different classes, so its key is among those that a pair of open_pairs shares."""
+    keys = representatives.select("node", "keys")
+    both = open_pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
+    both = both.join(keys.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+    shared = both.select(F.explode(F.array_intersect("x", "y")).alias("key")).distinct()
+    met = representatives.select(F.explode("keys").alias("key"), "node").join(shared, "key", "left_semi")
+    named = cut_lineage(met.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+    counts = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named.join(mixed.drop("n"), "key")
+
+
+def alignable(sequences: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, n, at_most): of each sequence the shingles, and how many of them stand in a sequence of another class, which
+    is the most that can be aligned with one. Sequences for which that is too few for any partner are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for node, own_class, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "class", "shingles"))):
+                own = labelled(np.frombuffer(packed, "<u4").astype(np.uint64)).view(np.int64)
+                text = int(words.mix(np.array([own.view(np.uint64).sum() + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
+                columns = [pa.array(np.full(len(own), x, np.int64)) for x in (node, own_class, text, len(own))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own)], ["node", "class", "text", "n", "label"])
+
+    labels = sequences.join(classes, "node").select("node", "class", "shingles").mapInArrow(run, "node long, class long, text long, n long, label long")
+    elsewhere = labels.groupBy("label").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("label")
+    counted = labels.join(elsewhere, "label").groupBy("node", "text", "n").agg(F.count(F.lit(1)).alias("at_most"))
+    return counted.where(F.col("at_most") >= SIMILARITY * F.col("n") - 1e-9).select("node", "n", "at_most")
+
+
+def rest(runs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The pairs (a < b) of different classes in one run that may align at SIMILARITY. Members of a run's largest class
+    are paired with those of other classes only, and a run is dealt over SALTS tasks."""
+    row = runs.join(bounds, "node")
+    left = row.where("class <> most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("x")
+    right = row.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).alias("y")
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    fits = (F.col("x.class") != F.col("y.class")) & (F.least("x.at_most", "y.at_most") >= need)
+    met = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & fits)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, class_id (the least id of its class), class_size (rows), kept (it is the one that
     stays: the row whose id names the class)."""
@@ -239,22 +284,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = blocks.staged(sketches(rows), "order-minhash")
     same = drawn.groupBy("seq_a", "seq_b").agg(F.min("node").alias("rep"))
     found = drawn.select("seq_a", "seq_b", "node", "near", "keys").join(same, ["seq_a", "seq_b"]).where("node = rep")
-    pairs = cut_lineage(candidates(found.where("size(keys) > 0").dropDuplicates(["node", "seq_a", "seq_b"])))
+    representatives = blocks.staged(found.where("size(keys) > 0").dropDuplicates(["node", "seq_a", "seq_b"]).select("node", "near", "keys"), "representatives")
+    pairs = cut_lineage(candidates(representatives))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     with_node = rows.join(wanted.withColumnRenamed("node", "id"), "id").unionByName(_without_id(rows, wanted))
     sequences = blocks.staged(_sequences(with_node), "shingles")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = cut_lineage(linked(first, sequences))
     joined = cut_lineage(components(sure))
-    at = lambda c: joined.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
-    open_pairs = (
-        pairs.join(first.withColumn("tried", F.lit(True)), ["a", "b"], "left_anti")
-        .join(at("a"), "a", "left")
-        .join(at("b"), "b", "left")
-        .where("coalesce(a_class, a) <> coalesce(b_class, b)")
-        .select("a", "b")
+    at = lambda c, known: known.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
+    apart = lambda some, known: (
+        some.join(at("a", known), "a", "left").join(at("b", known), "b", "left").where("coalesce(a_class, a) <> coalesce(b_class, b)").select("a", "b")
     )
-    classes = components(sure.unionByName(linked(open_pairs, sequences)))
+    untried = pairs.join(first, ["a", "b"], "left_anti")
+    sure = cut_lineage(sure.unionByName(linked(apart(untried, joined), sequences)))
+    joined = cut_lineage(components(sure))
+    runs = unsettled(representatives, apart(pairs, joined), joined)
+    runs = cut_lineage(runs)
+    left = rest(runs, alignable(sequences, runs.select("node", "class").distinct()))
+    classes = components(sure.unionByName(linked(cut_lineage(left.join(pairs, ["a", "b"], "left_anti")), sequences)))
     named = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("seq_a", "seq_b", F.coalesce("class", "rep").alias("class"))
     members = cut_lineage(drawn.select("id", "node", "seq_a", "seq_b").join(named, ["seq_a", "seq_b"]).select("id", "node", "class"))
     sizes = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
