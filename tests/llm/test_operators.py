@@ -352,6 +352,29 @@ def test_near_duplicates_of_one_cluster_and_a_shared_passage(spark):
     assert len({r.class_id for r in found if r.id >= 100}) == 60
 
 
+def test_near_duplicates_lose_no_link_of_a_run(spark):
+    """Copies around the limit: every pair that shares a band and aligns is in one class, and no class has more."""
+    rng = np.random.default_rng(11)
+    base, rows = sentence(12, 120).split(), []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.choice(len(base), int(rng.integers(0, 6)), replace=False):
+            copy[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    found = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seqs, keys = [], []
+    for _, text in rows:
+        own = order_minhash._word_hashes(pa.array([text]))[0]
+        seqs.append((order_minhash.shingles(own) >> np.uint64(32)).astype(np.uint32))
+        keys.append(set(order_minhash.sketch(order_minhash.labelled(order_minhash.shingles(own)))[0].tolist()))
+    edges = [(i, j) for i in range(150) for j in range(i) if keys[i] & keys[j] and order_minhash.aligned(seqs[i], seqs[j])]
+    least = list(range(150))
+    for _ in least:
+        for i, j in edges:
+            least[i] = least[j] = min(least[i], least[j])
+    assert {r.id: r.class_id for r in found} == dict(enumerate(least)) and len(set(least)) > 1
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(200):
