@@ -5,6 +5,10 @@ often it came before, so that repeats count. Order min-hash draws, for each of B
 functions, the TAKE shingles of least hash and keeps them in the order of the text; two
 documents meet in a band if they drew the same shingles in the same order. Reordered texts
 with equal shingles do not meet, which is what makes the sketch follow edit similarity.
+Texts of at most TAKE shingles draw them all, so in place of bands they have exact keys: the
+whole sequence, and the sequence without each one of its shingles, which is all that
+SIMILARITY lets two of them differ by. Texts of at most SHORT shingles have FEW_BANDS bands
+more that draw FEW shingles, as eight common minima are rare where few shingles are common.
 
 Candidates are verified by banded alignment of the shingle sequences: with m shingles
 aligned in order, the similarity is m / (n1 + n2 - m), and documents at SIMILARITY or more
@@ -41,6 +45,7 @@ from sparktab.llm.huffman import in_runs
 from sparktab.session import cut_lineage
 
 SHINGLE, BANDS, TAKE, SIMILARITY = 5, 40, 8, 0.8
+SHORT, FEW_BANDS, FEW = 64, 16, 3
 SLICE = 1 << 14
 SALTS, PARTS = 8, 64
 TEXT_RUN = 2 << 20
@@ -81,10 +86,36 @@ def sketch(labels: np.ndarray, bands: int = BANDS, take: int = TAKE) -> tuple[np
     for column in range(4):
         near = near << 16 | int(values[:, column].min() >> np.uint64(48))
     in_order = labels[np.sort(picked[:, :bands], axis=0)]
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for row in in_order:
+    return _folded(in_order, np.arange(1, bands + 1, dtype=np.uint64)), near - (1 << 63)
+
+
+def _folded(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    for row in rows:
         keys = keys * np.uint64(0xD1342543DE82EF95) + row
-    return words.mix(keys), near - (1 << 63)
+    return words.mix(keys)
+
+
+def short_keys(grams: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The further keys of a text of at most SHORT shingles; with at most TAKE they replace those of sketch()."""
+    n = len(grams)
+    if n > SHORT:
+        return np.zeros(0, np.uint64)
+    factors = _RANDOM[BANDS + 4 : BANDS + 4 + FEW_BANDS] | np.uint64(1)
+    least = np.argsort(labels[:, None] * factors, axis=0)[:FEW]
+    keys = [_folded(labels[np.sort(least, axis=0)], np.arange(BANDS + 1, BANDS + FEW_BANDS + 1, dtype=np.uint64))]
+    if n <= TAKE:
+        keys.append(_folded(grams[:, None], np.zeros(1, np.uint64)))
+        if n - 1 >= SIMILARITY * n:
+            at = np.arange(n - 1)[:, None]
+            keys.append(_folded(grams[at + (at >= np.arange(n))], np.zeros(n, np.uint64)))
+    return np.unique(np.concatenate(keys))
+
+
+def keys_of(grams: np.ndarray) -> tuple[np.ndarray, int]:
+    """All keys under which a text with these shingles meets others, and the number of sketch()."""
+    labels = labelled(grams)
+    keys, near = sketch(labels)
+    return np.concatenate([keys[:0] if len(grams) <= TAKE else keys, short_keys(grams, labels)]), near
 
 
 def _word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +140,7 @@ def sketches(rows: DataFrame) -> DataFrame:
                 for i, doc_id in enumerate(ids):
                     own = word[first[i] : first[i + 1]]
                     if len(own):
-                        keys, near = sketch(labelled(shingles(own)))
+                        keys, near = keys_of(shingles(own))
                         seq = [words.grams(own, len(own), s)[0] if len(own) <= 64 else _long_hash(own, s) for s in (2, 3)]
                     else:
                         raw = words.buffer_of(part[i : i + 1])[0]

@@ -375,6 +375,35 @@ def test_near_duplicates_lose_no_link_of_a_run(spark):
     assert {r.id: r.class_id for r in found} == dict(enumerate(least)) and len(set(least)) > 1
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of 5 to 60 words against edited copies: all aligned pairs of at most 8 shingles are found, and nearly all others."""
+    rng, rows = np.random.default_rng(21), []
+    for n in range(5, 61):
+        for k in range(4):
+            base = sentence(1000 * n + k, n).split()
+            spare = (n - 4) // 4
+            head, cut, foot = rng.integers(0, max(2, spare // 2 + 1), 3)
+            copies = [base, base[1:], base[:-1], ["extra", *base], [*base, "extra"], [*["extra"] * head, *base[cut:], *["extra"] * foot]]
+            swapped = list(base)
+            swapped[int(rng.integers(0, n))] = "other"
+            rows += [(len(rows) + i, " ".join(c)) for i, c in enumerate([*copies, swapped]) if c]
+    found = {r.id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    group = {}
+    seqs = []
+    for i, text in rows:
+        seqs.append((order_minhash.shingles(order_minhash._word_hashes(pa.array([text]))[0]) >> np.uint64(32)).astype(np.uint32))
+        for x in set(seqs[-1].tolist()):
+            group.setdefault(x, []).append(i)
+    pairs = {(a, b) for g in group.values() for a in g for b in g if a < b}
+    links = [(a, b) for a, b in pairs if order_minhash.aligned(seqs[a], seqs[b])]
+    lost = [(a, b) for a, b in links if found[a] != found[b]]
+    assert [(a, b) for a, b in lost if max(len(seqs[a]), len(seqs[b])) <= order_minhash.TAKE] == []
+    assert len(links) > 1000 and len(lost) <= 0.001 * len(links)
+    keys = [set(order_minhash.keys_of(order_minhash.shingles(order_minhash._word_hashes(pa.array([t]))[0]))[0].tolist()) for _, t in rows]
+    missed = [(a, b) for a, b in links if not keys[a] & keys[b]]
+    assert len(missed) <= 0.001 * len(links)
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(200):
