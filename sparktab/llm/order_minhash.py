@@ -16,8 +16,8 @@ are linked. The band is as wide as the unaligned shingles that this allows. Docu
 the same words need no sketch of their own; linked documents form a class (transitively).
 
 No step gathers a bucket. Buckets are runs of equal keys in a table sorted by range, which
-may cut a hot bucket anywhere; within a run the documents are sorted by four further
-minima, which puts the most similar next to each other, and each is paired with its
+may cut a hot bucket anywhere; the parts are tied by their last and first rows. Within a run
+the documents are sorted by four further minima, which puts the most similar next to each other, and each is paired with its
 neighbour and with the first of the run: two candidates a row, not all pairs. A cluster of
 n documents so gets up to 2 * BANDS * n differently ordered candidates. They are verified in
 two turns, one for each document first, then those between documents that the first turn
@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,16 +163,19 @@ def _long_hash(word_hashes: np.ndarray, seed: int) -> np.uint64:
 
 
 def candidates(representatives: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of neighbours, and of first and member, in the runs of equal keys."""
+    """Pairs (a < b) of neighbours, and of first and member, in the runs of equal keys. Where a partition ends within a run
+    its part is a run of its own, and the pairs over the border are added: each partition says what it begins and ends with."""
     met = representatives.select(F.explode("keys").alias("key"), "near", "node")
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["a", "b", "part", "key"]
 
     def run(batches):
-        key, first, last = None, None, None
+        key, first, last, border = None, None, None, None
         for batch in batches:
             keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             if not len(keys):
                 continue
+            border = border or (int(keys[0]), int(nodes[0]))
             new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
             heads = np.flatnonzero(new)
             start = np.where(np.arange(len(keys)) >= (heads[0] if len(heads) else len(keys)), 0, -1)
@@ -182,10 +186,29 @@ def candidates(representatives: DataFrame) -> DataFrame:
             differ = a != b
             a, b = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
             key, first, last = keys[-1], begin[-1], nodes[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())], names)
+        if border:
+            at = TaskContext.get().partitionId()
+            columns = [[border[1], first], [None, last], [at, at], [border[0], key]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names)
 
     dealt = met.repartitionByRange(parts, "key", "near", "node").sortWithinPartitions("key", "near", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = cut_lineage(dealt.mapInArrow(run, "a long, b long, part int, key long").distinct())
+    over = across(found.where("part is not null").collect())
+    return found.where("part is null").select("a", "b").unionByName(met.sparkSession.createDataFrame(over, "a long, b long"))
+
+
+def across(borders: list) -> list[tuple[int, int]]:
+    """The pairs of neighbours, and of first and member, that the borders of partitions cut apart. Two rows a partition:
+    (key, a: the first node, b: null), and (key, a: the first node of the last run, b: the last node)."""
+    out, before = set(), None
+    for row in sorted(borders, key=lambda r: (r["part"], r["b"] is not None)):
+        if row["b"] is None:
+            if before is not None and before["key"] == row["key"]:
+                out |= {(min(x, row["a"]), max(x, row["a"])) for x in (before["a"], before["b"]) if x != row["a"]}
+        else:
+            before = row
+    return sorted(out)
 
 
 def aligned(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
@@ -330,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = drawn.groupBy("seq_a", "seq_b").agg(F.min("node").alias("rep"))
     found = drawn.select("seq_a", "seq_b", "node", "near", "keys").join(same, ["seq_a", "seq_b"]).where("node = rep")
     representatives = blocks.staged(found.where("size(keys) > 0").dropDuplicates(["node", "seq_a", "seq_b"]).select("node", "near", "keys"), "representatives")
-    pairs = cut_lineage(candidates(representatives))
+    pairs = candidates(representatives)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     with_node = rows.join(wanted.withColumnRenamed("node", "id"), "id").unionByName(_without_id(rows, wanted))
     sequences = blocks.staged(_sequences(with_node), "shingles")

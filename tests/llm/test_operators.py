@@ -375,6 +375,21 @@ def test_near_duplicates_lose_no_link_of_a_run(spark):
     assert {r.id: r.class_id for r in found} == dict(enumerate(least)) and len(set(least)) > 1
 
 
+def test_candidates_of_runs_cut_at_a_border(spark):
+    """Neighbours of a run stay joined however the partitions cut it."""
+    rows = [(k * 10 + i, k * 10 + i, [k]) for k, n in enumerate([2, 3, 1, 9, 2, 2, 5]) for i in range(n)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 2, 5, 12, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = order_minhash.candidates(spark.createDataFrame(rows, "node long, near long, keys array<long>")).collect()
+            pairs = {(r.a, r.b) for r in got}
+            assert {(i, i + 1) for i, _, _ in rows if (i + 1, i + 1, [i // 10]) in rows} <= pairs
+            assert all(a < b and a // 10 == b // 10 for a, b in pairs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_near_duplicates_of_short_texts(spark):
     """Texts of 5 to 60 words against edited copies: all aligned pairs of at most 8 shingles are found, and nearly all others."""
     rng, rows = np.random.default_rng(21), []
