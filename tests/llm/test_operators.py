@@ -453,6 +453,24 @@ def test_main_text(spark):
     assert host_suffix.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="with-sidebar"><article><p>text</article></div>', "text"),
+        ('<div class="content-nav sidebar"><article><p>text</article></div><p>other', "text"),
+        ('<div class="search"><main><p>text</main></div>', "text"),
+        ('<article class="post comments-open"><p>text</article>', "text"),
+        ('<article><section id="related-work"><h2 id="search">head</h2><p class="notice">text</section></article>', "head|text"),
+        ('<article><p>text<div class="social-share">x</div></article><div class="comments"><article>y<article>z</article></article></div>', "text"),
+        ('<article><p>text<section id="comments"><article class="comment">x</article><article>y</article></section></article>', "text"),
+        ('<main><article class="search"><p>text</article></main>', "text"),
+        ('<main><p>text<div class="related">x</div></main><div class="site-footer">y</div>', "text"),
+    ],
+)
+def test_marks_lose_no_article(page, text):
+    assert "|".join(t for t, kind in host_suffix.page_blocks(page) if kind == host_suffix.KEPT) == text
+
+
 def test_prefix_groups_equal_sorted_suffixes():
     rng = np.random.default_rng(6)
     tokens, page = rng.integers(0, 3, 200).astype(np.uint64), np.repeat([1, 2, 3, 4], 50)
