@@ -1,11 +1,10 @@
 """Removal of passages that an earlier document already has, by relative Lempel-Ziv factors.
 
-Every document is parsed greedily against the indexed blocks of all documents: a factor
-starts at the first word whose next k words stand in a document with a smaller id, and
-grows word by word while the following k words do too. A factor is therefore at least k
-words long. Where a factor ends, the k-word sequences across its border are looked up like
-all others, so a passage that continues in another reference block is not lost. The union
-of the factors is the duplicate part of the document.
+This is a look-up of windows, not a parse against reference texts: each k-word window of a
+document is looked up among the windows of all documents, and is marked if a document with a
+smaller id has it. Marked windows that overlap or touch are merged, and a merged range is called
+a factor. It is at least k words long, has no reference document or position, and may join
+windows from several documents. The union of the ranges is the duplicate part of the document.
 
 The index is a key space of k-word hashes spread over buckets (see blocks.py): a block of
 documents sends each distinct key once with the smallest id that has it, and gets a bit
