@@ -19,7 +19,10 @@ from sparktab.llm import (
     order_minhash,
     piece_fst,
     positional_index,
+    prefix_monoid,
     rlz_dedup,
+    rotation_codes,
+    strassen_negatives,
 )
 
 #: Vocabulary files of the installed public tokenizers.
@@ -79,6 +82,20 @@ def op10_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_suffix.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_monoid.prefix_tree(_table(spark, sf_dir, "conversations"), conv - conv % 20, F.crc32(conv.cast("string")) % 4, 3)
+
+
+def op12_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return strassen_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op13_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolated_lm": op1_interpolated_lm,
     "op2_license_diagonals": op2_license_diagonals,
@@ -90,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_fst": op8_piece_fst,
     "op9_order_minhash": op9_order_minhash,
     "op10_host_suffix": op10_host_suffix,
+    "op11_prefix_monoid": op11_prefix_monoid,
+    "op12_strassen_negatives": op12_strassen_negatives,
+    "op13_rotation_codes": op13_rotation_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,4 +118,72 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_prefix_monoid": r"""
+        WITH RECURSIVE own AS (
+          SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+          FROM conversations WHERE conv_id IS NOT NULL),
+        heads AS (
+          SELECT c, c - c % 20 AS base, xor(list_reduce(
+                   list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) % 4 AS h
+          FROM (SELECT DISTINCT c FROM own)),
+        turns AS (
+          SELECT heads.c, own.p AS d, role, text FROM heads JOIN own ON own.c = base AND own.p <= h
+          UNION ALL
+          SELECT heads.c, (SELECT least(heads.h, count(*)) FROM own AS b WHERE b.c = base) + own.p - h, role, text FROM heads JOIN own ON own.c = heads.c AND own.p > h),
+        paths AS (
+          SELECT c, d, string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY d) AS path,
+                 string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, d = max(d) OVER (PARTITION BY c) AS ends FROM turns),
+        members AS (
+          SELECT c, d, path, coalesce(up, '') AS up, words, ends FROM paths
+          UNION ALL SELECT c, 0, '', NULL, 0, c NOT IN (SELECT c FROM turns) FROM heads),
+        nodes AS (
+          SELECT path, min(up) AS up, min(c) AS conv_id, min(d) AS depth, count(*) AS n, (count(*) - 1) * min(words) AS own_saved,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+          FROM members GROUP BY path),
+        kids AS (SELECT up AS path, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY up),
+        below AS (
+          SELECT top.path, sum((k IS NULL)::INT) AS n_leaves, sum(low.own_saved) AS saved
+          FROM nodes AS low LEFT JOIN kids ON kids.path = low.path
+          JOIN members AS m ON m.c = low.conv_id AND m.d <= low.depth JOIN nodes AS top ON top.path = m.path GROUP BY top.path)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children,
+               n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes AS n LEFT JOIN nodes AS p ON p.path = n.up LEFT JOIN kids ON kids.path = n.path JOIN below ON below.path = n.path
+    """,
+    "op12_strassen_negatives": """
+        WITH rows AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                 coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0)::BIGINT AS score
+          FROM rows AS a JOIN rows AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        ranked AS (
+          SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+                 vec_id AS negative_id, positive_score, score AS negative_score
+          FROM positives AS p JOIN scores AS s ON p.anchor_id = s.anchor_id
+          WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
+    "op13_rotation_codes": """
+        WITH RECURSIVE usable AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM usable AS a JOIN usable AS b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN least ON a = vec_id
+    """,
 }
