@@ -14,13 +14,10 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.ml.stat import Summarizer
@@ -30,7 +27,10 @@ from pyspark.sql import functions as F
 
 from sparktab.functions.scalars import algorithm_name
 from sparktab.operators import knn
+from sparktab.operators.boosting import MAX_BINS, fit_boosted
+from sparktab.operators.calibration import SigmoidCalibration, fit_sigmoid, held_out_margins
 from sparktab.operators.features import _Stage
+from sparktab.operators.networks import fit_network
 from sparktab.operators.prep import ROW_ID
 from sparktab.session import checkpoint_root, cut_lineage, scratch_path
 
@@ -66,10 +66,12 @@ DEFAULTS: dict[str, dict] = {
         "random_state": 42,
     },
 }
-EXTRA_PARAMETERS = {"svm": {"n_fourier"}, "adaboost": {"max_bins"}, "random_forest": {"max_bins"}, "xgboost": {"max_bins"}}
+#: What the algorithm itself takes for granted about parameters that are not listed above.
+BOOSTING = {"reg_lambda": 1.0, "gamma": 0.0, "min_child_weight": 1.0, "base_score": 0.5, "max_bins": MAX_BINS}
+EXTRA_PARAMETERS = {"svm": {"n_fourier"}, "adaboost": {"max_bins"}, "random_forest": {"max_bins"}, "xgboost": set(BOOSTING)}
 SPARK_MAX_DEPTH = 30
 CHECKPOINT_ROUNDS = 10
-STUMP_BINS = 32
+STUMP_BINS = 64
 
 
 def resolve_parameters(algorithm: str, params: dict | None = None) -> dict:
@@ -94,15 +96,15 @@ def fit_classifier(
     if name == "logistic_regression":
         return [_logistic(p, df.count()).fit(df)]
     if name == "neural_network":
-        return [_perceptron(p, _width(df), n_classes).fit(df)]
+        return [fit_network(df, _width(df), n_classes, p, row_id)]
     if name == "adaboost":
         return [fit_adaboost(df, n_classes, p["n_estimators"], p["learning_rate"], p.get("max_bins", STUMP_BINS))]
     if name == "knn":
         return [fit_knn(df, n_classes, p["n_neighbors"], p["weights"], row_id)]
-    fit_two = _fit_boosted if name == "xgboost" else _fit_svm
+    fit_two = (lambda part: [fit_boosted(part, {**BOOSTING, **p}, _width(df), row_id)]) if name == "xgboost" else (lambda part: _fit_svm(part, p, row_id))
     if n_classes == 2:
-        return fit_two(df, p)
-    return [fit_one_vs_rest(df, n_classes, lambda part: fit_two(part, p))]
+        return fit_two(df)
+    return [fit_one_vs_rest(df, n_classes, fit_two)]
 
 
 def _width(df: DataFrame) -> int:
@@ -137,31 +139,6 @@ def _logistic(p: dict, n: int) -> LogisticRegression:
     )
 
 
-def _perceptron(p: dict, width: int, n_classes: int) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(
-        layers=[width, *p["hidden_layer_sizes"], n_classes],
-        maxIter=p["max_iter"],
-        stepSize=p["learning_rate_init"],
-        seed=p["random_state"],
-    )
-
-
-def _fit_boosted(df: DataFrame, p: dict) -> list:
-    columns = float(p["colsample_bytree"])
-    return [
-        GBTClassifier(
-            maxIter=p["n_estimators"],
-            maxDepth=tree_depth(p["max_depth"]),
-            stepSize=p["learning_rate"],
-            subsamplingRate=p["subsample"],
-            featureSubsetStrategy="all" if columns >= 1.0 else str(columns),
-            maxBins=p.get("max_bins", 32),
-            checkpointInterval=CHECKPOINT_ROUNDS,
-            seed=p["random_state"],
-        ).fit(df)
-    ]
-
-
 class RandomFourierFeatures(_Stage, Transformer):
     """Approximates an RBF kernel: sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma).
 
@@ -194,9 +171,9 @@ class RandomFourierFeatures(_Stage, Transformer):
         return df.withColumn("fourier", array_to_vector(lift(vector_to_array("features"))))
 
 
-def _fit_svm(df: DataFrame, p: dict) -> list:
-    """Linear SVM, on random Fourier features for the RBF kernel, with a logistic
-    calibration of its margin as probability."""
+def _fit_svm(df: DataFrame, p: dict, row_id: str) -> list:
+    """Linear SVM, on random Fourier features for the RBF kernel; probabilities are a
+    sigmoid fitted to margins of rows that their model has not seen."""
     if p["kernel"] not in ("rbf", "linear"):
         raise ValueError(f"Unknown kernel: {p['kernel']}")
     stages: list = []
@@ -220,23 +197,25 @@ def _fit_svm(df: DataFrame, p: dict) -> list:
             )
         )
         df, source = stages[0].transform(df), "fourier"
-    svc = LinearSVC(
-        featuresCol=source,
-        rawPredictionCol="margins",
-        regParam=1.0 / (p["C"] * n),
-        standardization=False,
-        maxIter=100,
-        tol=1e-3,
-    ).fit(df)
-    slicer = VectorSlicer(inputCol="margins", outputCol="margin", indices=[1])
-    stages += [svc, slicer]
-    calibrated = LogisticRegression(
-        featuresCol="margin",
-        probabilityCol="probability",
-        rawPredictionCol="calibrationRaw",
-        predictionCol="calibrationClass",
-    ).fit(slicer.transform(svc.transform(df)))
-    return [*stages, calibrated]
+
+    def fit_margin(train: DataFrame, rows: int):
+        return LinearSVC(
+            featuresCol=source,
+            rawPredictionCol="margins",
+            regParam=1.0 / (p["C"] * rows),
+            standardization=False,
+            maxIter=100,
+            tol=1e-3,
+        ).fit(train)
+
+    def margin_of(train: DataFrame):
+        fitted = fit_margin(train, train.count())
+        return lambda rows: fitted.transform(rows).withColumn("margin", vector_to_array("margins")[1])
+
+    svc = fit_margin(df, n)
+    margins = cut_lineage(held_out_margins(df, margin_of, row_id, p["random_state"]))
+    slope, offset = fit_sigmoid(margins)
+    return [*stages, svc, SigmoidCalibration(slope=slope, offset=offset)]
 
 
 class _DirectoryWriter(DefaultParamsWriter):
@@ -362,22 +341,21 @@ class BoostedStumps(_Stage, Model):
 
 
 def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float, bins: int = STUMP_BINS) -> BoostedStumps:
-    """SAMME over depth-1 trees with split candidates at feature quantiles.
-
-    Features are cut into bins once. A round is one aggregation: the weight per
-    (feature, bin, class), from which both the best split and its weighted error follow.
-    The weight of a row depends only on the stumps that missed it, so it is an
-    expression over the row's bins; the log weight so far is checkpointed every few
-    rounds, which bounds that expression and the lineage.
+    """SAMME over depth-1 trees that are cut at any value.
+
+    Features are cut into bins once. A round sums the weights per (feature, bin, class),
+    which gives the impurity of cuts between bins and a bound on that of cuts inside
+    one; only bins that may hold a better cut are scanned value by value. The number of
+    bins changes the work, never the result. The weight of a row depends only on the
+    stumps that missed it, so it is an expression over the row's features; the log
+    weight so far is checkpointed every few rounds, which bounds that expression and the
+    lineage.
     """
     cuts = _quantile_cuts(df, bins)
     thresholds = F.array(*[F.array(*[F.lit(t) for t in c]).cast("array<double>") for c in cuts])
-    binned = F.zip_with(
-        vector_to_array("features"), thresholds, lambda x, ts: F.size(F.filter(ts, lambda t: t < x))
-    )
-    data = cut_lineage(
-        df.select("label", binned.alias("bins"), F.lit(0.0).alias("log_weight"))
-    )
+    x = vector_to_array("features")
+    binned = F.zip_with(x, thresholds, lambda v, ts: F.size(F.filter(ts, lambda t: t < v)))
+    data = cut_lineage(df.select("label", x.alias("x"), binned.alias("bins"), F.lit(0.0).alias("log_weight")))
     n = data.count()
     pending: list[tuple] = []
     stumps: list[list] = []
@@ -385,22 +363,22 @@ def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float, bins:
 
     def log_weight() -> Column:
         w = F.col("log_weight")
-        for f, b, left, right, power in pending:
-            chosen = F.when(F.col("bins")[f] <= b, F.lit(left)).otherwise(F.lit(right))
+        for f, t, left, right, power in pending:
+            chosen = F.when(F.col("x")[f] <= t, F.lit(left)).otherwise(F.lit(right))
             w = w + F.when(chosen != F.col("label"), F.lit(power)).otherwise(0.0)
         return w
 
     for i in range(rounds):
         best = _best_split(
-            data.select("bins", "label", F.exp(log_weight() - F.lit(shift)).alias("weight")), n_classes
+            data.select("x", "bins", "label", F.exp(log_weight() - F.lit(shift)).alias("weight")), n_classes, cuts
         )
         if best is None:
             break
-        f, b = best["f"], best["b"]
-        left, right = float(best["left_class"]), float(best["right_class"])
-        total = sum(best["left"]) + sum(best["right"])
-        error = 1.0 - (best["left"][int(left)] + best["right"][int(right)]) / total
-        stump = [f, cuts[f][b], left, right]
+        f, threshold, left_mass, right_mass = best
+        left, right = float(np.argmax(left_mass)), float(np.argmax(right_mass))
+        total = left_mass.sum() + right_mass.sum()
+        error = 1.0 - (left_mass[int(left)] + right_mass[int(right)]) / total
+        stump = [f, threshold, left, right]
         if error <= 1e-15:
             stumps.append([*stump, 1.0])
             break
@@ -408,7 +386,7 @@ def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float, bins:
             break
         power = rate * (math.log((1 - error) / error) + math.log(n_classes - 1))
         stumps.append([*stump, power])
-        pending.append((f, b, left, right, power))
+        pending.append((f, threshold, left, right, power))
         # Keep the weights near 1: their new sum is known without another pass.
         shift += math.log(total * (1 - error + error * math.exp(power)) / n)
         if len(pending) == CHECKPOINT_ROUNDS and i + 1 < rounds:
@@ -420,7 +398,7 @@ def fit_adaboost(df: DataFrame, n_classes: int, rounds: int, rate: float, bins:
 
 
 def _quantile_cuts(df: DataFrame, bins: int) -> list[list[float]]:
-    """Ascending split candidates of every feature, from one sketch pass."""
+    """Ascending bin borders of every feature, from one sketch pass."""
     width = _width(df)
     shares = [i / bins for i in range(1, bins)]
     x = vector_to_array("features")
@@ -435,44 +413,94 @@ def _quantile_cuts(df: DataFrame, bins: int) -> list[list[float]]:
     return [sorted(set(row[f"q{j}"])) for j in range(width)]
 
 
-def _best_split(weighted: DataFrame, n_classes: int):
-    """The (feature, bin) cut with the least Gini impurity and its class weights."""
+def _impurity(mass: np.ndarray) -> np.ndarray:
+    """Weighted Gini impurity of class masses (last axis)."""
+    total = mass.sum(axis=-1)
+    return np.where(total > 0, total - (mass * mass).sum(axis=-1) / np.where(total > 0, total, 1.0), 0.0)
+
+
+def _best_split(weighted: DataFrame, n_classes: int, cuts: list[list[float]]):
+    """(feature, threshold, left masses, right masses) of the cut x <= threshold with the least Gini impurity; of equal
+    ones the first feature's least. None if no feature has two values."""
     own = [
         F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0.0)).alias(f"w{k}")
         for k in range(n_classes)
     ]
-    upto = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("f")
-    sums = (
-        weighted.select("label", "weight", F.posexplode("bins").alias("f", "b"))
-        .groupBy("f", "b")
-        .agg(*own)
-        .select(
-            "f",
-            "b",
-            F.array(*[F.sum(f"w{k}").over(upto) for k in range(n_classes)]).alias("left"),
-            F.array(*[F.sum(f"w{k}").over(whole) for k in range(n_classes)]).alias("all"),
-            F.max("b").over(whole).alias("last"),
-        )
-        .where(F.col("b") < F.col("last"))
-        .withColumn("right", F.zip_with("all", "left", lambda a, x: F.greatest(a - x, F.lit(0.0))))
+    ends = [F.min("v").alias("low"), F.max("v").alias("high")]
+    # at most features x bins rows
+    cells = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("bins") - 1).alias("f"), F.col("bins").alias("b"), F.col("x").alias("v")))
+    rows = weighted.select("label", "weight", cells.alias("c")).select("label", "weight", "c.*").groupBy("f", "b").agg(*own, *ends)
+    by_feature: dict[int, list] = {}
+    for row in sorted(rows.collect(), key=lambda r: (r["f"], r["b"])):
+        by_feature.setdefault(row["f"], []).append(row)
+    best, inside = None, []
+    for f, listed in by_feature.items():
+        mass = np.array([[row[f"w{k}"] for k in range(n_classes)] for row in listed])
+        upto, whole = np.cumsum(mass, axis=0), mass.sum(axis=0)
+        for i, row in enumerate(listed):
+            before = upto[i] - mass[i]
+            if i + 1 < len(listed):
+                best = _better(best, (_cut_impurity(upto[i], whole), f, row["high"], upto[i], whole - upto[i]))
+            if row["low"] < row["high"]:
+                inside.append((_least_inside(before, mass[i], whole), f, row["b"], before, whole))
+    # impurity is concave in the masses left of the cut: inside a bin it is least at a corner
+    wanted = [c for c in inside if best is None or c[0] < best[0]]
+    if wanted:
+        best = _better(best, _best_inside(weighted, wanted, own, n_classes))
+    return best and best[1:]
+
+
+def _better(old, new):
+    """The tuple (impurity, feature, threshold, ...) that comes first; impurities equal up to rounding are equal."""
+    if old is None or new is None:
+        return old or new
+    if abs(new[0] - old[0]) <= 1e-12 * max(new[0], old[0]):
+        return min(old, new, key=lambda c: c[1:3])
+    return min(old, new, key=lambda c: c[0])
+
+
+def _cut_impurity(left: np.ndarray, whole: np.ndarray) -> float:
+    return float(_impurity(left) + _impurity(np.maximum(whole - left, 0.0)))
+
+
+def _least_inside(before: np.ndarray, mass: np.ndarray, whole: np.ndarray) -> float:
+    """No cut inside a bin has less impurity."""
+    if len(mass) > 8:
+        return -math.inf
+    corners = (np.arange(1 << len(mass))[:, None] >> np.arange(len(mass))) & 1
+    left = before + corners * mass
+    return float((_impurity(left) + _impurity(np.maximum(whole - left, 0.0))).min() * (1 - 1e-9))
+
+
+def _best_inside(weighted: DataFrame, bins: list[tuple], own: list[Column], n_classes: int):
+    """The best cut at a value inside one of the bins (bound, feature, bin, masses before, all masses)."""
+    chosen: dict[int, list] = {}
+    for _, f, b, *_ in bins:
+        chosen.setdefault(f, []).append(b)
+    cell = lambda f: F.struct(F.lit(f).alias("f"), F.col("bins")[f].alias("b"), F.col("x")[f].alias("v"))
+    cells = F.array_compact(F.array(*[F.when(F.col("bins")[f].isin(bs), cell(f)) for f, bs in chosen.items()]))
+    values = weighted.select("label", "weight", F.explode(cells).alias("c")).groupBy("c.f", "c.b", "c.v").agg(*own)
+    arrays = lambda m: [float(v) for v in m]
+    known = weighted.sparkSession.createDataFrame(
+        [(f, b, arrays(before), arrays(whole)) for _, f, b, before, whole in bins], "f int, b int, before array<double>, whole array<double>"
     )
+    # one row for each bin, of features x bins at most
+    run = Window.partitionBy("f", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max("v").over(Window.partitionBy("f", "b"))
+    upto = values.select("f", "b", "v", last.alias("last"), F.array(*[F.sum(f"w{k}").over(run) for k in range(n_classes)]).alias("own"))
+    left = F.zip_with("before", "own", lambda a, x: a + x)
+    right = F.zip_with("whole", "left", lambda a, x: F.greatest(a - x, F.lit(0.0)))
+    cut = upto.where("v < last").join(F.broadcast(known), ["f", "b"]).withColumn("left", left).withColumn("right", right)
 
     def impurity(side: str) -> Column:
         mass = F.aggregate(side, F.lit(0.0), lambda a, x: a + x)
         squares = F.aggregate(side, F.lit(0.0), lambda a, x: a + x * x)
         return F.when(mass > 0, mass - squares / mass).otherwise(0.0)
 
-    def majority(side: str) -> Column:
-        return F.array_position(side, F.array_max(side)) - 1
-
-    return (
-        sums.withColumn("impurity", impurity("left") + impurity("right"))
-        .orderBy("impurity", "f", "b")
-        .limit(1)
-        .select("f", "b", "left", "right", majority("left").alias("left_class"), majority("right").alias("right_class"))
-        .first()
-    )
+    cut = cut.withColumn("impurity", impurity("left") + impurity("right"))
+    least = cut.agg(F.min("impurity")).first()[0]
+    row = cut.where(F.col("impurity") <= least * (1 + 1e-12)).orderBy("f", "v").limit(1).first()
+    return row and (row["impurity"], row["f"], row["v"], np.array(row["left"]), np.array(row["right"]))
 
 
 class NearestNeighbourModel(_PartsStage, Model):

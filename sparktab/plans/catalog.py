@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.functions import scalars
 from sparktab.operators import (
+    boosting,
     diagnostics,
+    estimators,
     features,
     knn,
     metrics,
+    positions,
     prep,
     profile,
     runs,
@@ -562,6 +565,36 @@ def fit_knn(spark, sf):
     return _measured(spark, sf, "knn", {"n_neighbors": 5})
 
 
+def _numeric_vectors(spark, sf, columns):
+    cells = F.array(*[F.col(c).cast("double") for c in columns])
+    return fx.clf_base(spark, sf).select("row_id", array_to_vector(cells).alias("features"), F.col("target").cast("double").alias("label"))
+
+
+@query
+def boosted_trees(spark, sf):
+    """Cuts and leaf values of three second-order trees of depth 2 over the whole table."""
+    params = estimators.resolve_parameters("xgboost", {"n_estimators": 3, "max_depth": 2, "subsample": 1.0, "colsample_bytree": 1.0})
+    rows = _numeric_vectors(spark, sf, ["l_discount", "l_quantity", "l_tax"])
+    model = boosting.fit_boosted(rows, {**estimators.BOOSTING, **params}, 3, "row_id")
+    paths = {}
+    out = []
+    for tree, node, feature, threshold, left, right, value in model.nodes():
+        path = paths.get((tree, node), "")
+        if feature >= 0:
+            paths[tree, left], paths[tree, right] = path + "L", path + "R"
+        out.append((tree, path, feature, threshold, None if feature >= 0 else round(value, 6)))
+    return spark.createDataFrame(out, "tree int, path string, feature int, threshold double, value double")
+
+
+@query
+def adaboost_stumps(spark, sf):
+    """The first three stumps, cut at any value, over the whole table."""
+    rows = _numeric_vectors(spark, sf, ["l_discount", "l_extendedprice", "l_quantity", "l_tax"])
+    stumps = estimators.fit_adaboost(rows, 2, 3, 0.5).value("stumps")
+    out = [(i, int(f), float(t), int(left), int(right), round(w, 6)) for i, (f, t, left, right, w) in enumerate(stumps)]
+    return spark.createDataFrame(out, "round int, feature int, threshold double, left_class int, right_class int, weight double")
+
+
 # Registry, workflows and scoring in a fresh warehouse.
 
 
@@ -662,10 +695,9 @@ def validated_classes(spark, sf):
 
 @query
 def labels_attached(spark, sf):
-    """The label of every row attached again to its features by row id."""
+    """The label of every row attached again to its features, by position."""
     df = fx.clf_base(spark, sf)
-    x, y = df.drop("target"), df.select("row_id", "target")
-    return x.join(y, "row_id").select("row_id", "l_quantity", "target")
+    return positions.attach(df.select("row_id", "l_quantity"), df.select("target"))
 
 
 def _results_frame(spark, results):

@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _keyed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    sizes = [F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")]
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", *keys).alias("row_id"),
+        F.concat_ws("-", *keys, *sizes).alias("row_id"),
         *FEATURES,
         (net > 50000).cast("int").alias("target"),
         "l_orderkey",
@@ -29,7 +30,8 @@ def _keyed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clf_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with a learnable binary target and a unique row id."""
+    """Line items with a learnable binary target and a row id of their keys, quantity and price, which
+    together tell all rows of the given tables apart (the keys alone do not)."""
     return _keyed_lineitem(spark, sf_dir).select("row_id", *FEATURES, "target")
 
 

@@ -7,12 +7,12 @@ CATEGORICAL = ["row_id", "l_returnflag", "l_linestatus"]
 NULLS_COLUMNS = ["row_id", *NUMERIC[:4], "l_returnflag", "l_linestatus", "target"]
 
 BASE = """base AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT) AS row_id,
          l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
          CAST(l_extendedprice * (1 - l_discount) > 50000 AS INTEGER) AS target
   FROM lineitem)"""
 NULLS = """nulls AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT) AS row_id,
          CASE WHEN (l_orderkey + l_linenumber) % 11 <> 0 THEN l_quantity END AS l_quantity,
          l_extendedprice, l_discount, l_tax,
          CASE WHEN (l_orderkey + l_linenumber) % 13 <> 0 THEN l_returnflag END AS l_returnflag,
@@ -520,3 +520,73 @@ ORACLES["validated_classes"] = f"""
 WITH {BASE} SELECT target, COUNT(*) AS n FROM base GROUP BY target"""
 ORACLES["labels_attached"] = f"""
 WITH {BASE} SELECT row_id, l_quantity, target FROM base"""
+
+
+def _unpivot(source: str, columns: list[str], sums: str, by: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i} AS f, {c}::DOUBLE AS v, {by}{sums} FROM {source} GROUP BY ALL" for i, c in enumerate(columns)
+    )
+
+
+def _value(columns: list[str], feature: str) -> str:
+    return f"CASE {feature} " + " ".join(f"WHEN {i} THEN {c}::DOUBLE" for i, c in enumerate(columns)) + " END"
+
+
+def _boosting_sql(columns: list[str], rounds: int, depth: int, rate: float) -> str:
+    """Second-order trees over all cuts, lambda = 1, least Hessian 1."""
+    steps = [f"WITH {BASE}, m0 AS (SELECT {', '.join(columns)}, target, COUNT(*) AS n, 0::DOUBLE AS margin FROM base GROUP BY ALL)"]
+    out = []
+    for r in range(rounds):
+        steps.append(
+            f"a{r}_0 AS (SELECT *, '' AS path, n * (1 / (1 + exp(-margin)) - target) AS g, "
+            f"n * (1 / (1 + exp(-margin))) * (1 - 1 / (1 + exp(-margin))) AS h FROM m{r})"
+        )
+        for d in range(depth):
+            now, sums = f"a{r}_{d}", "SUM(g) AS g, SUM(h) AS h"
+            steps.append(f"u{r}_{d} AS ({_unpivot(now, columns, sums, 'path, ')})")
+            steps.append(
+                f"c{r}_{d} AS (SELECT path, f, v, MAX(v) OVER w AS top, SUM(g) OVER o AS gl, SUM(h) OVER o AS hl, SUM(g) OVER w AS g, "
+                f"SUM(h) OVER w AS h FROM u{r}_{d} WINDOW w AS (PARTITION BY path, f), o AS (PARTITION BY path, f ORDER BY v))"
+            )
+            gain = "(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2"
+            steps.append(
+                f"b{r}_{d} AS (SELECT path, f, v, {gain} AS gain FROM c{r}_{d} WHERE v < top AND hl >= 1 AND h - hl >= 1 AND {gain} > 1e-6 "
+                "QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(gain, 7) DESC, f, v) = 1)"
+            )
+            side = f"CASE WHEN b.f IS NULL THEN '' WHEN {_value(columns, 'b.f')} <= b.v THEN 'L' ELSE 'R' END"
+            steps.append(f"a{r}_{d + 1} AS (SELECT a.* REPLACE (a.path || {side} AS path) FROM {now} a LEFT JOIN b{r}_{d} b ON b.path = a.path)")
+            out.append(f"SELECT {r} AS tree, path, f AS feature, v AS threshold, NULL::DOUBLE AS value FROM b{r}_{d}")
+        steps.append(f"l{r} AS (SELECT path, -{rate} * SUM(g) / (SUM(h) + 1) AS value FROM a{r}_{depth} GROUP BY path)")
+        steps.append(f"m{r + 1} AS (SELECT {', '.join(columns)}, target, n, margin + value AS margin FROM a{r}_{depth} JOIN l{r} USING (path))")
+        out.append(f"SELECT {r}, path, -1, 0, round(value, 6) FROM l{r}")
+    return ",\n".join(steps) + "\n" + "\nUNION ALL ".join(out)
+
+
+def _stumps_sql(columns: list[str], rounds: int, rate: float) -> str:
+    """SAMME stumps over all cuts, two classes."""
+    steps = [f"WITH {BASE}, w0 AS (SELECT {', '.join(columns)}, target, 1::DOUBLE AS w FROM base)"]
+    for r in range(rounds):
+        steps.append(f"u{r} AS ({_unpivot(f'w{r}', columns, 'SUM(w * (1 - target)) AS p, SUM(w * target) AS q')})")
+        steps.append(
+            f"c{r} AS (SELECT f, v, MAX(v) OVER a AS top, SUM(p) OVER o AS lp, SUM(q) OVER o AS lq, SUM(p) OVER a - SUM(p) OVER o AS rp, "
+            f"SUM(q) OVER a - SUM(q) OVER o AS rq FROM u{r} WINDOW a AS (PARTITION BY f), o AS (PARTITION BY f ORDER BY v))"
+        )
+        steps.append(
+            f"b{r} AS (SELECT *, CAST(lq > lp AS INTEGER) AS lc, CAST(rq > rp AS INTEGER) AS rc, "
+            "(least(lp, lq) + least(rp, rq)) / (lp + lq + rp + rq) AS e FROM "
+            f"c{r} WHERE v < top ORDER BY round(2 * lp * lq / (lp + lq) + 2 * rp * rq / (rp + rq), 7), f, v LIMIT 1)"
+        )
+        power = f"{rate} * ln((1 - e) / e)"
+        steps.append(
+            f"w{r + 1} AS (SELECT {', '.join(columns)}, target, "
+            f"w * CASE WHEN (CASE WHEN {_value(columns, 'f')} <= v THEN lc ELSE rc END) <> target THEN exp({power}) ELSE 1 END AS w FROM w{r}, b{r})"
+        )
+    rows = [
+        f"SELECT {r} AS round, f AS feature, v AS threshold, lc AS left_class, rc AS right_class, round({rate} * ln((1 - e) / e), 6) AS weight FROM b{r}"
+        for r in range(rounds)
+    ]
+    return ",\n".join(steps) + "\n" + "\nUNION ALL ".join(rows)
+
+
+ORACLES["boosted_trees"] = _boosting_sql(["l_discount", "l_quantity", "l_tax"], 3, 2, 0.1)
+ORACLES["adaboost_stumps"] = _stumps_sql(["l_discount", "l_extendedprice", "l_quantity", "l_tax"], 3, 0.5)
