@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import keyword_only
 from pyspark.ml import Model
@@ -37,11 +38,15 @@ def held_out_margins(df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFra
     fold = fold_of(row_id, seed, folds)
     counts = {r["fold"]: r for r in df.groupBy(fold.alias("fold")).agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).collect()}
     ones, n = sum(r["ones"] for r in counts.values()), sum(r["n"] for r in counts.values())
-    parts = []
-    for k, row in sorted(counts.items()):
-        other_ones, others = ones - row["ones"], n - row["n"]
+
+    def of_fold(k: int) -> DataFrame:
+        other_ones, others = ones - counts[k]["ones"], n - counts[k]["n"]
         train = df.where(fold != k) if 0 < other_ones < others else df
-        parts.append(fit(train)(df.where(fold == k)).select("margin", "label"))
+        return fit(train)(df.where(fold == k)).select("margin", "label")
+
+    # the folds' jobs are independent of each other
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        parts = list(pool.map(of_fold, sorted(counts)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -30,6 +30,7 @@ from sparktab.operators import knn
 from sparktab.operators.boosting import MAX_BINS, fit_boosted
 from sparktab.operators.calibration import SigmoidCalibration, fit_sigmoid, held_out_margins
 from sparktab.operators.features import _Stage
+from sparktab.operators.kernel_svm import fit_kernel_svm
 from sparktab.operators.networks import fit_network
 from sparktab.operators.prep import ROW_ID
 from sparktab.session import checkpoint_root, cut_lineage, scratch_path
@@ -171,50 +172,54 @@ class RandomFourierFeatures(_Stage, Transformer):
         return df.withColumn("fourier", array_to_vector(lift(vector_to_array("features"))))
 
 
-def _fit_svm(df: DataFrame, p: dict, row_id: str) -> list:
-    """Linear SVM, on random Fourier features for the RBF kernel; probabilities are a
-    sigmoid fitted to margins of rows that their model has not seen."""
-    if p["kernel"] not in ("rbf", "linear"):
-        raise ValueError(f"Unknown kernel: {p['kernel']}")
-    stages: list = []
-    source = "features"
+def _kernel_width(df: DataFrame, gamma) -> float:
+    """'scale' is 1 / (width * variance of all entries), 'auto' 1 / width."""
+    if gamma not in ("scale", "auto"):
+        return float(gamma)
+    width = _width(df)
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s"),
     ).first()
     n = row["n"]
-    if p["kernel"] == "rbf":
-        width = _width(df)
-        gamma = p["gamma"]
-        if gamma in ("scale", "auto"):
-            mean = row["s"]["mean"].toArray()
-            var = row["s"]["variance"].toArray() * (n - 1) / n
-            spread = float((var + mean * mean).mean() - mean.mean() ** 2)
-            gamma = 1.0 / width if gamma == "auto" or spread == 0 else 1.0 / (width * spread)
-        stages.append(
-            RandomFourierFeatures(
-                width=width, size=p.get("n_fourier", 256), gamma=float(gamma), seed=p["random_state"]
-            )
-        )
+    mean = row["s"]["mean"].toArray()
+    var = row["s"]["variance"].toArray() * (n - 1) / n
+    spread = float((var + mean * mean).mean() - mean.mean() ** 2)
+    return 1.0 / width if gamma == "auto" or spread == 0 else 1.0 / (width * spread)
+
+
+def _fit_svm(df: DataFrame, p: dict, row_id: str) -> list:
+    """Support vectors of the RBF kernel, or a linear SVM, the latter also on random
+    Fourier features where ``n_fourier`` asks for them; probabilities are a sigmoid fitted
+    to margins of rows that their model has not seen."""
+    if p["kernel"] not in ("rbf", "linear"):
+        raise ValueError(f"Unknown kernel: {p['kernel']}")
+    stages: list = []
+    source = "features"
+    width = _width(df)
+    gamma = _kernel_width(df, p["gamma"]) if p["kernel"] == "rbf" else None
+    if gamma is not None and p.get("n_fourier"):
+        stages.append(RandomFourierFeatures(width=width, size=p["n_fourier"], gamma=gamma, seed=p["random_state"]))
         df, source = stages[0].transform(df), "fourier"
 
-    def fit_margin(train: DataFrame, rows: int):
+    def fit_margin(train: DataFrame):
+        if gamma is not None and not stages:
+            return fit_kernel_svm(train, width, p["C"], gamma)
         return LinearSVC(
             featuresCol=source,
             rawPredictionCol="margins",
-            regParam=1.0 / (p["C"] * rows),
+            regParam=1.0 / (p["C"] * train.count()),
             standardization=False,
             maxIter=100,
             tol=1e-3,
         ).fit(train)
 
     def margin_of(train: DataFrame):
-        fitted = fit_margin(train, train.count())
+        fitted = fit_margin(train)
         return lambda rows: fitted.transform(rows).withColumn("margin", vector_to_array("margins")[1])
 
-    svc = fit_margin(df, n)
-    margins = cut_lineage(held_out_margins(df, margin_of, row_id, p["random_state"]))
-    slope, offset = fit_sigmoid(margins)
+    svc = fit_margin(df)
+    slope, offset = fit_sigmoid(cut_lineage(held_out_margins(df, margin_of, row_id, p["random_state"])))
     return [*stages, svc, SigmoidCalibration(slope=slope, offset=offset)]
 
 

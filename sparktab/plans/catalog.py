@@ -547,7 +547,7 @@ def fit_svm_linear(spark, sf):
 
 @query
 def fit_svm_rbf(spark, sf):
-    return _measured(spark, sf, "svm", {"kernel": "rbf", "n_fourier": 64})
+    return _measured(spark, sf, "svm", {"kernel": "rbf"})
 
 
 @query
