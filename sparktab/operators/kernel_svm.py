@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from sparktab.operators.features import _Stage
 from sparktab.session import cut_lineage
 
-WORKING = 1024
+WORKING, ACTIVE = 1024, 4096
 TOLERANCE = 1e-3
 #: Rounds between two checkpoints; kernel entries that a task holds at once; bytes of a model's vectors.
 KEEP_ROUNDS, ENTRIES, SUPPORT_BYTES = 10, 1 << 22, 64 << 20
-#: A round over the same rows again solves them closer than the last one, at least to this share of the tolerance.
-CLOSER = 0.1
+#: The driver solves its rows to this share of the tolerance.
+CLOSER = 0.5
 STATE = "block long, x binary, y binary, a binary, f binary"
 
 
@@ -140,27 +140,62 @@ def _worst(state: DataFrame, width: int, c: float, working: int) -> list:
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= half).orderBy("side", "r").collect()
 
 
-def fit_kernel_svm(df: DataFrame, width: int, c: float, gamma: float, tolerance: float = TOLERANCE, working: int = WORKING) -> SupportVectors:
+class _Active:
+    """Rows that the driver solves together: those with a > 0, the free ones first, up to a bound, and new violators."""
+
+    def __init__(self, width: int):
+        self.at: dict[tuple, int] = {}
+        self.x, self.y, self.a, self.f = np.zeros((0, width)), np.zeros(0), np.zeros(0), np.zeros(0)
+
+    def take(self, rows: list) -> None:
+        """Adds rows of ``_worst`` and renews f of those that are here already."""
+        for r in rows:
+            if (r["block"], r["row"]) in self.at:
+                self.f[self.at[r["block"], r["row"]]] = r["f"]
+        new = list({(r["block"], r["row"]): r for r in rows if (r["block"], r["row"]) not in self.at}.items())
+        self.at |= {key: len(self.y) + i for i, (key, _) in enumerate(new)}
+        if new:
+            self.x = np.concatenate([self.x, np.stack([np.frombuffer(r["x"]) for _, r in new])])
+            self.y, self.a, self.f = (np.concatenate([old, [r[c] for _, r in new]]) for old, c in ((self.y, "y"), (self.a, "a"), (self.f, "f")))
+
+    def solved(self, c: float, gamma: float, tolerance: float) -> dict | None:
+        """Solves over the rows held; the change that all rows' f must take in, or None."""
+        k = kernel(self.x, self.x, gamma)
+        new = solve(k, self.y, self.a, self.f, c, tolerance)
+        moved = np.flatnonzero(new != self.a)
+        if not len(moved):
+            return None
+        weights = (new - self.a)[moved] * self.y[moved]
+        self.f = self.f + k[:, moved] @ weights
+        self.a = new
+        keys = list(self.at)
+        change = {"z": self.x[moved], "weights": weights, "new": {}}
+        for i in moved:
+            change["new"].setdefault(keys[i][0], []).append((keys[i][1], float(new[i])))
+        return change
+
+    def trim(self, c: float, most: int) -> None:
+        keys = list(self.at)
+        order = np.lexsort((np.arange(len(keys)), self.a >= c, self.a <= 0))
+        kept = sorted(i for i in order[:most] if self.a[i] > 0)
+        self.at = {keys[i]: n for n, i in enumerate(kept)}
+        self.x, self.y, self.a, self.f = (v[kept] for v in (self.x, self.y, self.a, self.f))
+
+
+def fit_kernel_svm(df: DataFrame, width: int, c: float, gamma: float, tolerance: float = TOLERANCE, working: int = WORKING, active: int = ACTIVE) -> SupportVectors:
     state = cut_lineage(_blocks(df)).persist()
-    rounds, closer, last = 0, CLOSER, None
+    held, rounds = _Active(width), 0
     while True:
         rows = _worst(state, width, c, working)
         best = [max((r["score"] for r in rows if r["side"] == s), default=None) for s in (0, 1)]
         offset = 0.0 if None in best else (best[0] - best[1]) / 2
         if None in best or best[0] + best[1] <= tolerance:
             break
-        rows = list({(r["block"], r["row"]): r for r in rows}.values())
-        same = {(r["block"], r["row"]) for r in rows}
-        closer, last = (closer / 10 if same == last else CLOSER), same
-        x = np.stack([np.frombuffer(r["x"]) for r in rows])
-        y, a, f = (np.array([r[k] for r in rows]) for k in "yaf")
-        new = solve(kernel(x, x, gamma), y, a, f, c, tolerance * closer)
-        moved = np.flatnonzero(new != a)
-        if not len(moved):
+        held.take(rows)
+        change = held.solved(c, gamma, tolerance * CLOSER)
+        if change is None:
             break
-        change = {"z": x[moved], "weights": (new - a)[moved] * y[moved], "new": {}}
-        for i in moved:
-            change["new"].setdefault(rows[i]["block"], []).append((rows[i]["row"], float(new[i])))
+        held.trim(c, active)
         rounds += 1
         old, state = state, _moved(state, change, width, gamma)
         if rounds % KEEP_ROUNDS == 0:
