@@ -11,9 +11,9 @@ stands almost only in toxic documents, in at least CONTEXTS different contexts (
 before and the word after), so that copies of one text do not make its words suspicious. A
 token of a toxic document is labelled 1 if one of its features marks toxic tokens.
 
-The model is fitted on a bounded sample, by hash of the id: at most SAMPLE_DOCS documents
-of each label, none longer than SAMPLE_CHARS characters, and at most TRAIN_RUNS runs. All
-documents are scored in whole.
+The model is fitted in one task on a bounded sample, by hash of the id: at most SAMPLE_DOCS
+different texts of each label, drawn from those of at most SAMPLE_CHARS characters, and at
+most TRAIN_RUNS runs. All documents are scored in whole.
 
 Defined cases: null and empty texts have no token, and get the calibrated score of a marginal
 of zero; a null id is not learned from (the label table has nothing for it) and counts as
@@ -45,6 +45,7 @@ TEXT_RUN = 4 << 20
 THRESHOLD = 0.3
 FLOOR = -12.0
 
+FITTED = ["emission", "step", "line", "fixed"]
 SCORED = "id long, score double, n_offending int, starts array<int>, ends array<int>"
 
 
@@ -236,16 +237,34 @@ def learns(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits in one task, on at most SAMPLE_DOCS different texts of each label and SAMPLE_CHARS characters a text; the
+    driver gets the weights only."""
     rows = blocks.documents(docs, id_col, text_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learns(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for y in (0, 1)]
+    # drawn from what can be used: labelled documents that exist, short enough, one of each text
+    short = rows.where(F.length("text") <= SAMPLE_CHARS).select("id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(5), "text").alias("b"))
+    usable = short.join(known, "id").groupBy("a", "b").agg(F.min(F.struct("id", "toxic")).alias("r")).select("r.*")
+    drawn = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for y in (0, 1)]
     sample = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").where(F.length("text") <= SAMPLE_CHARS)
-    texts = sample.select("id", "text", "toxic").dropDuplicates(["text"]).toArrow().sort_by("id")
-    toxic = texts.column("toxic").to_pylist()
-    stand = [share.get(y, 0) / max(1, min(share.get(y, 0), SAMPLE_DOCS)) for y in (0, 1)]
-    return fit(texts.column("text").to_pylist(), toxic, stand[0] / stand[1] if stand[1] else 1.0)
+
+    def run(batches):
+        held = list(batches)
+        table = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("text", "ascending")]) if held else None
+        toxic = table.column("toxic").to_pylist() if table else []
+        stand = [share.get(y, 0) / max(1, toxic.count(y)) for y in (0, 1)]
+        model = fit(table.column("text").to_pylist() if table else [], toxic, stand[0] / stand[1] if stand[1] else 1.0)
+        columns = [[model.emission.astype("<f4").tobytes()], [model.step.ravel().tolist()], [list(model.line)], [model.fixed]]
+        types = [pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], FITTED)
+
+    # a bounded sample: at most 2 * SAMPLE_DOCS texts, unless rows repeat with their id
+    one = sample.dropDuplicates(["id", "text"]).select("id", "text", "toxic").repartition(1)
+    row = one.mapInArrow(run, "emission binary, step array<double>, line array<double>, fixed double").first()
+    if row is None:
+        return fit([], [], 1.0)
+    return Model(np.frombuffer(row["emission"], "<f4"), np.array(row["step"]).reshape(2, 2), tuple(row["line"]), row["fixed"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
