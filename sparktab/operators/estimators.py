@@ -509,9 +509,9 @@ def _best_inside(weighted: DataFrame, bins: list[tuple], own: list[Column], n_cl
 
 
 class NearestNeighbourModel(_PartsStage, Model):
-    """Votes of the k nearest training rows; the training table is kept as Parquet."""
+    """Votes of the k nearest training rows, which are kept as a stored cell index."""
 
-    path = Param(Params._dummy(), "path", "training table")
+    path = Param(Params._dummy(), "path", "cell index of the training table")
     k = Param(Params._dummy(), "k", "neighbours")
     weights = Param(Params._dummy(), "weights", "uniform or distance")
     size = Param(Params._dummy(), "size", "number of classes")
@@ -527,9 +527,9 @@ class NearestNeighbourModel(_PartsStage, Model):
         own_id = row_id in df.columns
         if not own_id:
             df = cut_lineage(df.withColumn(row_id, F.monotonically_increasing_id()))
-        train = df.sparkSession.read.parquet(self.value("path"))
+        index = knn.CellIndex.load(df.sparkSession, self.value("path"))
         queries = df.select(F.col(row_id).alias("qid"), vector_to_array("features").alias("vec"))
-        found = knn.nearest(queries, train, self.value("k"))
+        found = knn.search(queries, index, self.value("k"))
         votes = knn.vote(found, self.value("size"), self.value("weights"))
         out = df.join(votes.withColumnRenamed("qid", row_id), row_id).withColumn(
             "probability", array_to_vector("probability")
@@ -538,7 +538,8 @@ class NearestNeighbourModel(_PartsStage, Model):
 
     def _save_parts(self, path: str) -> None:
         spark = SparkSession.active()
-        spark.read.parquet(self.value("path")).write.parquet(f"{path}/rows")
+        for part in ("rows", "cells"):
+            spark.read.parquet(f"{self.value('path')}/{part}").write.parquet(f"{path}/index/{part}")
 
     @classmethod
     def read(cls):
@@ -548,7 +549,7 @@ class NearestNeighbourModel(_PartsStage, Model):
 class _NeighbourReader(DefaultParamsReader):
     def load(self, path: str):
         model = super().load(path)
-        model._fill(path=f"{path}/rows")
+        model._fill(path=f"{path}/index")
         return model
 
 
@@ -556,7 +557,6 @@ def fit_knn(df: DataFrame, n_classes: int, k: int, weights: str, row_id: str):
     if weights not in ("uniform", "distance"):
         raise ValueError(f"Unknown weights: {weights}")
     path = scratch_path(df.sparkSession, "neighbours")
-    df.select(
-        F.col(row_id).alias("tid"), "label", vector_to_array("features").alias("vec")
-    ).write.parquet(path)
+    train = df.select(F.col(row_id).alias("tid"), "label", vector_to_array("features").alias("vec"))
+    knn.build_index(train).save(path)
     return NearestNeighbourModel(path=path, k=k, weights=weights, size=n_classes, rowId=row_id)

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktab.session import cut_lineage
@@ -116,29 +117,52 @@ def _keep_topk(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """(qid, tid, label, distance, rank) from queries(qid, vec) and train(tid, label, vec).
+@dataclass
+class CellIndex:
+    """Training rows by cell: placed(tid, label, vec, cell), and for each cell its pivot, number of rows and radius.
+    The arrays have one entry for each pivot, of which there are at most the square root of the rows."""
 
-    ``vec`` is array<double>. Ties go to the smaller ``tid``.
-    """
+    pivots: np.ndarray
+    rows: np.ndarray
+    radius: np.ndarray
+    placed: DataFrame
+
+    def save(self, path: str) -> None:
+        """The rows in ranges of cells, and the table of cells."""
+        self.placed.repartitionByRange("cell", "tid").sortWithinPartitions("cell").write.parquet(f"{path}/rows")
+        cells = [(i, int(n), float(r), p.tolist()) for i, (n, r, p) in enumerate(zip(self.rows, self.radius, self.pivots))]
+        table = self.placed.sparkSession.createDataFrame(cells, "cell int, n bigint, radius double, pivot array<double>")
+        table.coalesce(1).write.parquet(f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        """Reads the table of cells only; the rows stay where they are until a search visits their cells."""
+        cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
+        pivots = np.array([c["pivot"] for c in cells])
+        rows, radius = (np.array([c[f] for c in cells] or [0]) for f in ("n", "radius"))
+        return cls(pivots, rows, radius, spark.read.parquet(f"{path}/rows"))
+
+
+def _slices(vectors: pd.Series, n_pivots: int) -> Iterator[np.ndarray]:
+    """The vectors in parts whose distances to all pivots fit in memory."""
+    step = max(1, GAPS_AT_ONCE // max(1, n_pivots))
+    for low in range(0, len(vectors), step):
+        yield np.stack(vectors.iloc[low : low + step].to_numpy())
+
+
+def build_index(train: DataFrame) -> CellIndex:
+    """The index of train(tid, label, vec)."""
     n = train.count()
-    k = min(k, n)
     n_cells = max(1, math.ceil(n / max(ROWS_PER_CELL, math.isqrt(n))))
 
     # Chosen by hash so that a retry chooses the same ones.
     chosen = train.orderBy(F.md5(F.col("tid").cast("string")), "tid").limit(n_cells)
     pivots = np.array([r["vec"] for r in chosen.select("vec").collect()])
 
-    def slices(vectors: pd.Series) -> Iterator[np.ndarray]:
-        """The vectors in parts whose distances to all pivots fit in memory."""
-        step = max(1, GAPS_AT_ONCE // max(1, len(pivots)))
-        for low in range(0, len(vectors), step):
-            yield np.stack(vectors.iloc[low : low + step].to_numpy())
-
     @F.pandas_udf("struct<cell:int,gap:double>")
     def to_cell(vectors: pd.Series) -> pd.DataFrame:
         cells, gaps = [], []
-        for x in slices(vectors):
+        for x in _slices(vectors, len(pivots)):
             cell = _pairwise(x, pivots).argmin(1).astype("int32")
             cells.append(cell)
             gaps.append(np.sqrt(((x - pivots[cell]) ** 2).sum(1)))
@@ -147,11 +171,27 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     placed = cut_lineage(
         train.withColumn("at", to_cell("vec")).select("tid", "label", "vec", "at.cell", "at.gap")
     )
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.collect()}
-    rows = np.array([stats.get(c, (0, 0.0))[0] for c in range(n_cells)])
-    radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(n_cells)])
-    placed = placed.drop("gap")
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
+    known = {r["cell"]: (r["n"], r["radius"]) for r in stats}
+    rows = np.array([known.get(c, (0, 0.0))[0] for c in range(n_cells)])
+    radius = np.array([known.get(c, (0, 0.0))[1] for c in range(n_cells)])
+    return CellIndex(pivots, rows, radius, placed.drop("gap"))
+
+
+def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """(qid, tid, label, distance, rank) from queries(qid, vec) and train(tid, label, vec).
+
+    ``vec`` is array<double>. Ties go to the smaller ``tid``.
+    """
+    return search(queries, build_index(train), k)
+
+
+def search(queries: DataFrame, index: CellIndex, k: int) -> DataFrame:
+    """``nearest`` over an index that was built or loaded before."""
+    pivots, rows, radius, placed = index.pivots, index.rows, index.radius, index.placed
+    k = min(k, int(rows.sum()))
+    full = [(i, int(n)) for i, n in enumerate(rows) if n]
+    cells = queries.sparkSession.createDataFrame(full, "cell int, n bigint")
 
     def pivot_gaps(x: np.ndarray) -> np.ndarray:
         gaps = [np.sqrt(((x - p) ** 2).sum(1)) for p in pivots]
@@ -166,12 +206,12 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def first_cells(vectors: pd.Series) -> pd.Series:
-        return pd.Series([home for x in slices(vectors) for home in home_cells(pivot_gaps(x))])
+        return pd.Series([home for x in _slices(vectors, len(pivots)) for home in home_cells(pivot_gaps(x))])
 
     @F.pandas_udf("array<int>")
     def other_cells(vectors: pd.Series, bound: pd.Series) -> pd.Series:
         out, reach = [], bound.to_numpy() * (1 + SLACK) + SLACK
-        for x in slices(vectors):
+        for x in _slices(vectors, len(pivots)):
             gaps = pivot_gaps(x)
             close = (gaps - radius[None, :] <= reach[len(out) : len(out) + len(x), None]) & (rows > 0)[None, :]
             for i, home in enumerate(home_cells(gaps)):
@@ -180,13 +220,18 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
         return pd.Series(out)
 
     near = queries.select(F.explode(first_cells("vec")).alias("cell"), "qid", "vec")
-    first = cut_lineage(_keep_topk(_tile_join(near, placed, cells, k), k).drop("rank"))
+    nearest_first = _keep_topk(_tile_join(near, placed, cells, k), k)
+    if len(rows) == 1:  # the one cell holds all rows
+        return nearest_first
+    first = cut_lineage(nearest_first.drop("rank"))
     bounds = first.groupBy("qid").agg(F.max("distance").alias("bound"))
     rest = cut_lineage(
         queries.join(bounds, "qid").select(
             F.explode(other_cells("vec", "bound")).alias("cell"), "qid", "vec"
         )
     )
+    if rest.isEmpty():
+        return _keep_topk(first, k)
     second = _tile_join(rest, placed, cells, k)
     return _keep_topk(first.unionByName(second), k)
 

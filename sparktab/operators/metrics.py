@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.session import combine_single_rows
+from sparktab.session import combine_single_rows, cut_lineage
 
 SCORES_PER_BUCKET = 250_000
 
@@ -203,19 +203,20 @@ def _score_counts(rows: DataFrame, group: Column, score: Column, positive: Colum
     """(grp, score, pos, neg, bucket) with rows folded per score and scores cut into buckets.
 
     Scores are folded before any ordering, so a score shared by many rows costs
-    nothing. The number of buckets grows with the distinct scores. The cut points come
-    from a sketch and are plain constants, which keeps the bucket of a score the same in
-    every use and after any task retry. Buckets rise with the scores; a null score is
+    nothing; the fold is checkpointed, so ``rows`` are read once. The number of buckets
+    grows with the folded rows. The cut points come from a sketch and are plain
+    constants, which keeps the bucket of a score the same in every use. Buckets rise with the scores; a null score is
     below all others and NaN above.
     """
     flat = rows.select(
         group.alias("grp"), score.cast("double").alias("score"), positive.alias("positive")
     )
-    distinct = flat.agg(F.approx_count_distinct("score")).first()[0]
-    folded = flat.groupBy("grp", "score").agg(
-        F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
+    folded = cut_lineage(
+        flat.groupBy("grp", "score").agg(
+            F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
+        )
     )
-    buckets = max(1, math.ceil(distinct / SCORES_PER_BUCKET))
+    buckets = max(1, math.ceil(folded.count() / SCORES_PER_BUCKET))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = folded.agg(F.percentile_approx("score", shares, 4 * buckets)).first()[0] if shares else []
     splits = [-math.inf, *sorted({0.0, *(c for c in cuts or [] if math.isfinite(c))}), math.inf]

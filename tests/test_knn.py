@@ -60,3 +60,23 @@ def test_votes(spark):
     assert weighted[1]["probability"] == pytest.approx([0.0, 1.0])
     with pytest.raises(ValueError):
         knn.vote(near, 2, "other")
+
+
+def test_a_stored_index_gives_the_same_neighbours(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(knn, "ROWS_PER_CELL", 60)
+    rng = np.random.default_rng(6)
+    t, q = rng.normal(size=(400, 3)), rng.normal(size=(50, 3))
+    queries, train = tables(spark, t, q)
+    knn.build_index(train).save(str(tmp_path / "index"))
+    index = knn.CellIndex.load(spark, str(tmp_path / "index"))
+    assert index.rows.sum() == 400 and len(index.pivots) > 1
+    monkeypatch.setattr(knn, "build_index", None)  # not built again
+    found = knn.search(queries, index, 5).collect()
+    assert {(r["qid"], r["rank"]): (r["tid"], r["distance"]) for r in found} == brute(t, q, 5)
+
+
+def test_an_empty_index_can_be_stored(spark, tmp_path):
+    queries, train = tables(spark, [[1.0, 2.0]], [[0.0, 0.0]])
+    knn.build_index(train.where("tid < 0")).save(str(tmp_path / "index"))
+    index = knn.CellIndex.load(spark, str(tmp_path / "index"))
+    assert knn.search(queries, index, 3).count() == 0
