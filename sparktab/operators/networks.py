@@ -32,7 +32,7 @@ PATIENCE, TOLERANCE = 10, 1e-4
 PENALTY = 1e-4
 BETA1, BETA2, TINY = 0.9, 0.999, 1e-8
 #: Batches of an epoch, rows of a batch at least, groups that sum the tasks' gradients.
-BATCHES, LEAST_ROWS, GROUPS = 8, 200, 16
+BATCHES, LEAST_ROWS, GROUPS = 24, 200, 16
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
 
@@ -104,7 +104,7 @@ def packed(df: DataFrame, width: int, row_id: str, seed: int, block_rows: int) -
     return rows.mapInArrow(run, "held boolean, n long, x binary, label binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def summed(rows: DataFrame, weights: Weights, sizes: list[int], with_gradient: bool) -> tuple[int, float, np.ndarray]:
+def summed(rows: DataFrame, weights: Weights, sizes: list[int], with_gradient: bool, tasks: int = GROUPS + 1) -> tuple[int, float, np.ndarray]:
     """Rows, right predictions (or loss) and gradient over all blocks of ``rows``."""
     size = 2 + (len(flat(weights)) if with_gradient else 0)
 
@@ -131,8 +131,9 @@ def summed(rows: DataFrame, weights: Weights, sizes: list[int], with_gradient: b
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     parts = rows.mapInArrow(own, "sums binary")
-    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
-    parts = parts.withColumn("g", group).repartition(GROUPS, "g").sortWithinPartitions("sums").drop("g").mapInArrow(merged, "sums binary")
+    if tasks > GROUPS:  # one sum for each task goes to the driver only if they are few
+        group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
+        parts = parts.withColumn("g", group).repartition(GROUPS, "g").sortWithinPartitions("sums").drop("g").mapInArrow(merged, "sums binary")
     total = np.zeros(size)
     for row in sorted(bytes(r["sums"]) for r in parts.collect()):
         total += np.frombuffer(row)
@@ -146,6 +147,7 @@ def fit_network(df: DataFrame, width: int, n_classes: int, p: dict, row_id: str)
     batches = max(1, min(BATCHES, n // LEAST_ROWS))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = cut_lineage(packed(df, width, row_id, p["random_state"], max(32, min(4096, n // (batches * tasks * 2) or 1)))).persist()
+    n_parts = blocks.rdd.getNumPartitions()
     held = blocks.where("held")
     stops = p["early_stopping"] and not held.isEmpty()
     train = blocks.where("not held") if stops else blocks
@@ -159,7 +161,7 @@ def fit_network(df: DataFrame, width: int, n_classes: int, p: dict, row_id: str)
         for k in range(batches):
             # blocks start on this batch's turn of the epoch; small tables may leave a batch empty
             own = train.where(F.pmod(F.xxhash64(F.lit(epoch), "block"), F.lit(batches)) == k) if batches > 1 else train
-            m, its_loss, grad = summed(own, shaped(vector, sizes), sizes, True)
+            m, its_loss, grad = summed(own, shaped(vector, sizes), sizes, True, n_parts)
             if not m:
                 continue
             grad = (grad + PENALTY * counted * vector) / m
@@ -170,7 +172,7 @@ def fit_network(df: DataFrame, width: int, n_classes: int, p: dict, row_id: str)
             vector = vector - rate * first / (np.sqrt(second) + TINY)
             loss, rows = loss + its_loss, rows + m
         if stops:
-            m, right, _ = summed(held, shaped(vector, sizes), sizes, False)
+            m, right, _ = summed(held, shaped(vector, sizes), sizes, False, n_parts)
             score = right / m
         else:
             score = -loss / rows

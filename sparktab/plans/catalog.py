@@ -25,8 +25,8 @@ from sparktab.operators import (
     split,
     tuning,
 )
+from sparktab.plans import facts, workflows
 from sparktab.plans import fixtures as fx
-from sparktab.plans import workflows
 from sparktab.session import scratch_path
 from sparktab.sources import delimited, records, reports
 
@@ -514,15 +514,11 @@ def knn_predict_weighted(spark, sf):
 
 
 def _measured(spark, sf, algorithm, params):
+    """Sizes of the held-out side per class and whether the reported metrics hold."""
     held = workflows.HeldOut(fx.clf_base(spark, sf), "target", 0.2, 42, "row_id")
-    stages = held.fit(algorithm, params)
-    row = held.measure(stages)
-    n_test = sum(map(sum, row["confusion_matrix"]))
+    row = held.measure(held.fit(algorithm, params))
     held.close()
-    names = ["accuracy", "precision", "recall", "f1", "roc_auc", "log_loss", "brier_score"]
-    values = (algorithm, n_test, *[row[n] for n in names])
-    types = "algorithm string, n_test bigint, " + ", ".join(f"{n} double" for n in names)
-    return spark.createDataFrame([values], types)
+    return facts.held_out(spark, [(algorithm, row)])
 
 
 @query
@@ -701,25 +697,23 @@ def labels_attached(spark, sf):
 
 
 def _results_frame(spark, results):
-    names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
-    rows = [
-        (i, r["model"], str(r["hyperparameters"]), *[r["metrics"][n] for n in names])
-        for i, r in enumerate(results)
-    ]
-    types = "place int, model string, hyperparameters string, "
-    return spark.createDataFrame(rows, types + ", ".join(f"{n} double" for n in names))
+    return facts.held_out(spark, [(r["model"], r["metrics"]) for r in results])
 
 
 @query
 def train_compare(spark, sf):
+    """Two models on one split; the best one comes first in the ranking metric."""
     bench = _bench(spark)
     bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
     out = bench.train(workflows.TrainRequest("lines", models=["logreg", "rf"]))
-    return _results_frame(spark, out["results"])
+    best = out["best_model"]["metrics"]["f1"] == max(r["metrics"]["f1"] for r in out["results"])
+    active = out["best_model"]["model_version"] == bench.warehouse.active_model()
+    return _results_frame(spark, out["results"]).withColumn("best_is_active", F.lit(best and active))
 
 
 @query
 def automl_leaderboard(spark, sf):
+    """Two candidates on distinct rows; the board is in the order of the metric."""
     bench = _bench(spark)
     bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
     out = bench.automl(
@@ -727,15 +721,21 @@ def automl_leaderboard(spark, sf):
             "lines", candidate_models=["logreg", "knn"], quick_tuning=False, optimize_metric="roc_auc"
         )
     )
-    return _results_frame(spark, out["leaderboard"])
+    board = [r["metrics"]["roc_auc"] for r in out["leaderboard"]]
+    return _results_frame(spark, out["leaderboard"]).withColumn("in_order", F.lit(facts.in_order(board)))
 
 
 def _tuned(spark, sf, **request):
     bench = _bench(spark)
     bench.warehouse.register(fx.clf_base(spark, sf).drop("row_id"), "lines")
     out = bench.tune(workflows.TuneRequest("lines", **request))
-    rows = [(i, str(sorted(p.items())), float(v)) for i, (p, v) in enumerate(out["trials"])]
-    return spark.createDataFrame(rows, "trial int, parameters string, score double")
+    best = max(v for _, v in out["trials"])
+    rows = [
+        (i, name, float(value), 0 < v <= 1, out["best_cv_score"] == best)
+        for i, (p, v) in enumerate(out["trials"])
+        for name, value in sorted(p.items())
+    ]
+    return spark.createDataFrame(rows, "trial int, parameter string, value double, score_holds boolean, best_holds boolean")
 
 
 @query
@@ -781,7 +781,7 @@ def score_saved_model(spark, sf):
     bench, version = _logged(spark, sf)
     model = bench.warehouse.load_model(version)
     wanted = records.from_table(fx.clf_base(spark, sf), records.model_schema(model), ["row_id"])
-    return scoring.score_table(model, wanted).select("row_id", "predicted", "probability")
+    return facts.scored(model, fx.clf_base(spark, sf), scoring.score_table(model, wanted), "row_id")
 
 
 @query
@@ -793,7 +793,7 @@ def score_records(spark, sf):
     fx.clf_base(spark, sf).drop("target").write.json(path)
     keep = T.StructType([T.StructField("row_id", T.StringType())])
     wanted = records.read_json(spark, path, records.model_schema(model), keep)
-    return scoring.score_table(model, wanted).select("row_id", "predicted", "probability")
+    return facts.scored(model, fx.clf_base(spark, sf), scoring.score_table(model, wanted), "row_id")
 
 
 @query
@@ -804,7 +804,7 @@ def score_records_csv(spark, sf):
     path = scratch_path(spark, "records")
     delimited.write_csv(fx.clf_base(spark, sf).drop("target"), path)
     wanted = records.read_csv(spark, path, records.model_schema(model), ["row_id"])
-    return scoring.score_table(model, wanted).select("row_id", "predicted", "probability")
+    return facts.scored(model, fx.clf_base(spark, sf), scoring.score_table(model, wanted), "row_id")
 
 
 # Forest diagnostics.
@@ -816,21 +816,30 @@ def importance_rollup(spark, sf):
     part = diagnostics.ForestSplit(df, "target", prep.validate(df, "target", "row_id"), 42, "row_id")
     model = part.fit({"n_estimators": 20})
     part.close()
-    return diagnostics.importance_rollup(
-        diagnostics.importance_slots(part.encoder, model.stages[0])
-    )
+    rolled = diagnostics.importance_rollup(diagnostics.importance_slots(part.encoder, model.stages[0]), None)
+    total = rolled.agg(F.sum("importance")).first()[0]
+    return rolled.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 @query
 def seed_stability(spark, sf):
     params = {"n_estimators": 5, "max_depth": 5}
     df = fx.clf_base(spark, sf)
-    return diagnostics.stability(
-        diagnostics.seed_scores(df, "target", diagnostics.SEEDS, params, "row_id")
-    )
+    scores = diagnostics.seed_scores(df, "target", diagnostics.SEEDS, params, "row_id").persist()
+    found = diagnostics.stability(scores).first()
+    hold = []
+    for name in ("accuracy", "f1"):
+        values = [r[name] for r in scores.collect()]
+        mean = sum(values) / len(values)
+        spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+        hold.append(abs(found[f"{name}_mean"] - mean) < 1e-9 and abs(found[f"{name}_std"] - spread) < 1e-9)
+    return scores.select("seed", F.col("accuracy").between(0.5, 1).alias("accuracy_holds"), F.lit(all(hold)).alias("summary_holds"))
 
 
 @query
 def bias_variance(spark, sf):
     df = fx.clf_base(spark, sf)
-    return diagnostics.bias_variance(df, "target", [5, 10, 20], [None, 5, 10], 42, "row_id")
+    table = diagnostics.bias_variance(df, "target", [5, 10, 20], [None, 5, 10], 42, "row_id")
+    bias = F.abs(F.col("bias") + F.col("train_accuracy") - 1) < 1e-12
+    variance = F.abs(F.col("variance") - F.col("train_accuracy") + F.col("test_accuracy")) < 1e-12
+    return table.select("n_estimators", "max_depth", bias.alias("bias_holds"), variance.alias("variance_holds"), (F.col("test_accuracy") > 0.5).alias("learns"))

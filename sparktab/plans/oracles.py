@@ -590,3 +590,46 @@ def _stumps_sql(columns: list[str], rounds: int, rate: float) -> str:
 
 ORACLES["boosted_trees"] = _boosting_sql(["l_discount", "l_quantity", "l_tax"], 3, 2, 0.1)
 ORACLES["adaboost_stumps"] = _stumps_sql(["l_discount", "l_extendedprice", "l_quantity", "l_tax"], 3, 0.5)
+
+
+def _held_out_sql(models: list[str], rows: str = "SELECT target FROM base", more: str = "") -> str:
+    """Test rows per class by the largest-remainder rule, and facts that must be true."""
+    return f"""
+WITH {BASE}, rows AS ({rows}), classes AS (
+  SELECT target, COUNT(*) AS k, SUM(COUNT(*)) OVER () AS n FROM rows GROUP BY target), sized AS (
+  SELECT *, n - CAST(ceil(0.2::DOUBLE * n) AS BIGINT) AS n_train FROM classes), shares AS (
+  SELECT *, k * n_train // n AS whole, k * n_train % n AS rest FROM sized), train AS (
+  SELECT target, k, whole + CAST(row_number() OVER (ORDER BY rest DESC, target)
+         <= n_train - SUM(whole) OVER () AS INTEGER) AS k_train FROM shares)
+SELECT model, target::VARCHAR AS label, (k - k_train)::BIGINT AS n_test, TRUE AS metrics_hold, TRUE AS beats_majority{more}
+FROM train, (VALUES {", ".join(f"('{m}')" for m in models)}) AS m(model)"""
+
+
+for _query, _model in {
+    "fit_logistic": "logistic_regression",
+    "fit_random_forest": "random_forest",
+    "fit_gbt": "xgboost",
+    "fit_svm_linear": "svm",
+    "fit_svm_rbf": "svm",
+    "fit_adaboost": "adaboost",
+    "fit_mlp": "neural_network",
+    "fit_knn": "knn",
+    "tune_then_train": "logistic_regression",
+}.items():
+    ORACLES[_query] = _held_out_sql([_model])
+ORACLES["train_compare"] = _held_out_sql(["logistic_regression", "random_forest"], more=", TRUE AS best_is_active")
+ORACLES["automl_leaderboard"] = _held_out_sql(
+    ["logistic_regression", "knn"], "SELECT target FROM (SELECT DISTINCT * EXCLUDE (row_id) FROM base)", ", TRUE AS in_order"
+)
+for _query in ("score_saved_model", "score_records", "score_records_csv"):
+    ORACLES[_query] = f"WITH {BASE} SELECT row_id, TRUE AS probability_holds, TRUE AS class_holds FROM base"
+ORACLES["importance_rollup"] = f"""
+WITH {BASE} SELECT column_name AS feature, TRUE AS not_negative, TRUE AS sums_to_one
+FROM (UNPIVOT (SELECT {", ".join(f"COUNT({c}) AS {c}" for c in [*NUMERIC[:4], *CATEGORICAL[1:]])} FROM base) ON COLUMNS(*) INTO NAME column_name VALUE n) WHERE n > 0"""
+ORACLES["seed_stability"] = "SELECT range::INTEGER AS seed, TRUE AS accuracy_holds, TRUE AS summary_holds FROM range(10)"
+ORACLES["bias_variance"] = """
+SELECT n_estimators, max_depth, TRUE AS bias_holds, TRUE AS variance_holds, TRUE AS learns
+FROM (VALUES (5), (10), (20)) AS a(n_estimators), (VALUES ('None'), ('5'), ('10')) AS b(max_depth)"""
+ORACLES["tune_grid"] = """
+SELECT trial, parameter, value, TRUE AS score_holds, TRUE AS best_holds
+FROM (VALUES (0, 'C', 0.01::DOUBLE), (0, 'max_iter', 30), (1, 'C', 1), (1, 'max_iter', 30)) AS t(trial, parameter, value)"""
