@@ -9,15 +9,13 @@ agree in all of these are a substring repeated between pages. Tokens covered by
 of at least RUN tokens that stand on at least PAGES distinct pages are boilerplate and are
 removed; the runs between them are kept.
 
-Inside an article repeats count less: hosts republish articles and quote the same passages,
-and main text must come out whole. There only a whole block of at least RUN tokens goes, and
-only if it stands in INSIDE_PAGES or more distinct main texts of the host that are also
-INSIDE_SHARE or more of all its distinct main texts. The README has the figures.
+Inside an article repeats count for nothing: hosts republish articles and quote the same
+passages, and main text must come out whole.
 
 A large host is never gathered: its pages are dealt by range, each task sorts the suffixes
 of at most SHARD_TOKENS tokens at a time, and the repeated prefixes of all shards are
-summed by (host, hash), with partial sums before the shuffle; blocks of articles are counted
-by (host, hash) as well. In the suffix arrays only hosts that have open pages take part.
+summed by (host, hash), with partial sums before the shuffle. Only hosts that have open
+pages take part.
 
 Defined cases: null and empty html have no text; a null or odd url has the host ''; rows
 that repeat are rows of their own, but pages of a host with the same text are one page when
@@ -35,10 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.llm import blocks, words
-from sparktab.session import cut_lineage
 
 RUN, PAGES, SHARD_TOKENS = 8, 3, 1_000_000
-INSIDE_PAGES, INSIDE_SHARE, SALTS = 10, 0.5, 64
 
 # Elements by what they do to the text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math"}
@@ -299,31 +295,6 @@ def distinct_pages(pages: DataFrame, text: Column) -> DataFrame:
     return pages.groupBy("host", F.xxhash64(text).alias("text")).agg(F.min("row").alias("row")).select("host", "row")
 
 
-def repeated_inside(decided: DataFrame) -> DataFrame:
-    """(host, line, ...): the hashes of blocks that stand in so many of the host's distinct main texts that they are boilerplate."""
-    some = decided.where("text <> ''")
-    distinct = distinct_pages(some, F.col("text"))
-    whole = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= INSIDE_PAGES)
-    block = F.explode(F.array_distinct(F.split("text", "\n"))).alias("block")
-    stood = some.select("host", "row", block).where(F.size(F.split("block", " ")) >= RUN).select("row", _line("block"))
-    counted = stood.join(distinct, "row").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= INSIDE_PAGES)
-    return counted.join(whole, "host").where(F.col("n") >= INSIDE_SHARE * F.col("n_texts")).select("host", "line")
-
-
-def _line(block: str | Column) -> Column:
-    return F.xxhash64(block).alias("line")
-
-
-def without_repeated(decided: DataFrame, found: DataFrame) -> DataFrame:
-    """(page_id, url, text) of decided pages, without the blocks of found. Such blocks of a host are few: each stands in
-    INSIDE_SHARE of its texts."""
-    lines = found.groupBy("host").agg(F.collect_set("line").alias("lines")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = decided.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(lines, ["host", "salt"], "left")
-    gone = lambda b: (F.size(F.split(b, " ")) >= RUN) & F.array_contains("lines", _line(b))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda b: ~gone(b)), "\n")
-    return both.select("page_id", "url", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text"))
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     parsed = blocks.staged(parse(pages, id_col, url_col, html_col), "pages").withColumn("row", F.monotonically_increasing_id())
@@ -332,7 +303,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     page_text = F.xxhash64(F.concat_ws("\n", F.coalesce("text", F.lit("")), F.array_join("texts", "\n"))).alias("page_text")
     seen = distinct_pages(parsed.select("host", "row", page_text).join(hosts, "host", "left_semi"), F.col("page_text"))
     evidence = repeated(parsed.select("host", "row", "texts").join(seen.select("row"), "row", "left_semi"))
-    inside = cut_lineage(repeated_inside(decided))
-    rest = decided.select("page_id", "url", "text") if inside.isEmpty() else without_repeated(decided, inside)
-    whole = rest.unionByName(decide(undecided, evidence))
+    whole = decided.select("page_id", "url", "text").unionByName(decide(undecided, evidence))
     return whole.withColumn("n_chars", F.length("text").cast("long"))

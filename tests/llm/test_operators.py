@@ -454,14 +454,14 @@ def test_main_text(spark):
 
 
 def test_main_text_with_repeats_inside_and_copies(spark):
-    """A line that most articles of a host end with goes, a passage that some quote stays; copies of a page prove nothing."""
+    """Lines and passages that articles of a host share stay, however many do; copies of a page prove nothing."""
     line, passage = sentence(71, 12), sentence(72, 30)
     body = lambda i: f"<article><p>{sentence(500 + i, 40)}</p>" + (f"<p>{passage}</p>" if i < 6 else "") + f"<p>{line}</p></article>"
     rows = [(i, f"http://a.org/{i}", body(i)) for i in range(14)]
     rows += [(100 + i, f"http://b.org/{i}", body(3)) for i in range(14)]  # one text, many rows
     rows += [(200 + i, f"http://c.org/{i}", f"<p>{sentence(73, 40)}</p>") for i in range(5)]  # copies without markup
     found = {r.page_id: r.text for r in host_suffix.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [found[i] for i in range(14)] == ["\n".join([sentence(500 + i, 40)] + [passage] * (i < 6)) for i in range(14)]
+    assert [found[i] for i in range(14)] == ["\n".join([sentence(500 + i, 40)] + [passage] * (i < 6) + [line]) for i in range(14)]
     assert {found[100 + i] for i in range(14)} == {"\n".join([sentence(503, 40), passage, line])}
     assert {found[200 + i] for i in range(5)} == {sentence(73, 40)} and len(found) == len(rows)
 
