@@ -27,6 +27,7 @@ Model files whose normaliser has a character map are refused.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
@@ -366,12 +367,16 @@ class Transducer:
         return (text[1:] if self.model.prefix and text[:1] == META else text).replace(META, " ")
 
 
+def _one_byte(wrong: UnicodeError) -> tuple[str, int]:
+    return "\ufffd", wrong.start + 1
+
+
+codecs.register_error("sparktab.one_byte", _one_byte)
+
+
 def _lenient(raw: bytes) -> str:
     """Each byte that belongs to no valid character is one replacement character."""
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError as wrong:
-        return raw[: wrong.start].decode("utf-8") + "�" + _lenient(raw[wrong.start + 1 :])
+    return raw.decode("utf-8", "sparktab.one_byte")
 
 
 _COMPILED: dict[int, Transducer] = {}

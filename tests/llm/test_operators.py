@@ -500,3 +500,8 @@ def test_blocks_share_the_shuffle(docs):
     plan = rlz_dedup.duplicate_spans(docs)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert blocks.sizes(rows)[0] == len(texts())
+
+
+def test_invalid_bytes_are_replaced_one_by_one():
+    assert piece_fst._lenient(b"\xff" * 200_000) == "�" * 200_000
+    assert piece_fst._lenient("aé☃".encode() + b"\xe2\x98" + b"z\x80") == "aé☃��z�"
