@@ -42,6 +42,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames that no later job reads, and let Spark drop the shuffles of finished jobs.
+
+    Every frame derived from them must have been checkpointed or written itself. Shuffle files
+    go when the driver collects their last reference; iterative jobs should not wait for that.
+    """
+    for df in frames:
+        plan = df._jdf.logicalPlan()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for spark in {df.sparkSession for df in frames}:
+        spark._jvm.System.gc()
+
+
 def combine_single_rows(*frames: DataFrame) -> DataFrame:
     """Merge one-row frames with different columns into one row, without a join."""
     merged = frames[0]
