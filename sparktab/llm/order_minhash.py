@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from sparktab.llm import blocks, words
 from sparktab.llm.huffman import in_runs
-from sparktab.session import cut_lineage
+from sparktab.session import cut_lineage, release
 
 SHINGLE, BANDS, TAKE, SIMILARITY = 5, 40, 8, 0.8
 SHORT, FEW_BANDS, FEW = 64, 16, 3
@@ -267,10 +267,21 @@ def linked(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, class): the least node that links lead to, for every node of edges. Alternates large-star and small-star
-    rounds; each is a grouped minimum and a join, and is checkpointed."""
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    rounds; each is a grouped minimum and a join, and is checkpointed. The rounds before it are released. known: the
+    classes (node, class) of links found before, which count as links of their own; they alone are final."""
+    new = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    if known is not None:
+        new = cut_lineage(new)
+        if new.isEmpty():
+            release(new)
+            return known
+        stars = known.where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
+        now = cut_lineage(new.unionByName(stars).distinct())
+        release(new)
+    else:
+        now = cut_lineage(new)
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -283,7 +294,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut_lineage(small.where("a <> b").distinct())
+        done, now = now, cut_lineage(small.where("a <> b").distinct())
+        del both, least, large, joined, small
+        release(done)
     return now.groupBy("a").agg(F.min("b").alias("class")).withColumnRenamed("a", "node").unionByName(
         now.groupBy("b").agg(F.first("b").alias("class")).withColumnRenamed("b", "node")
     )
@@ -360,17 +373,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = cut_lineage(linked(first, sequences))
     joined = cut_lineage(components(sure))
+    release(sure)
     at = lambda c, known: known.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
     apart = lambda some, known: (
         some.join(at("a", known), "a", "left").join(at("b", known), "b", "left").where("coalesce(a_class, a) <> coalesce(b_class, b)").select("a", "b")
     )
     untried = pairs.join(first, ["a", "b"], "left_anti")
-    sure = cut_lineage(sure.unionByName(linked(apart(untried, joined), sequences)))
-    joined = cut_lineage(components(sure))
-    runs = unsettled(representatives, apart(pairs, joined), joined)
-    runs = cut_lineage(runs)
+    sure = cut_lineage(linked(apart(untried, joined), sequences))
+    once, joined = joined, cut_lineage(components(sure, joined))
+    release(sure, once)
+    runs = cut_lineage(unsettled(representatives, apart(pairs, joined), joined))
     left = rest(runs, alignable(sequences, runs.select("node", "class").distinct()))
-    classes = components(sure.unionByName(linked(cut_lineage(left.join(pairs, ["a", "b"], "left_anti")), sequences)))
+    sure = cut_lineage(linked(cut_lineage(left.join(pairs, ["a", "b"], "left_anti")), sequences))
+    release(runs)
+    classes = components(sure, joined)
     named = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("seq_a", "seq_b", F.coalesce("class", "rep").alias("class"))
     members = cut_lineage(drawn.select("id", "node", "seq_a", "seq_b").join(named, ["seq_a", "seq_b"]).select("id", "node", "class"))
     sizes = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

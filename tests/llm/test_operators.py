@@ -439,6 +439,16 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
 
 
+def test_components_from_known_classes(spark):
+    """Classes found before count as links: further ones merge them, none leaves them."""
+    old, new = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (5, 5)]
+    known = order_minhash.components(spark.createDataFrame(old, "a long, b long"))
+    found = {r.node: r["class"] for r in order_minhash.components(spark.createDataFrame(new, "a long, b long"), known).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 30, 31: 30}
+    none = order_minhash.components(spark.createDataFrame([(4, 4)], "a long, b long"), known)
+    assert {r.node: r["class"] for r in none.collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
+
+
 def test_main_text(spark):
     menu = "Home News Sport Weather Travel Culture Science Contact us today"
     plain = [(i, f"https://www.a.org/{i}", f"<div>{menu}</div><p>page{i} says x{i}</p><p>{menu} again</p>") for i in range(6)]
