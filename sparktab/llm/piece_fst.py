@@ -31,7 +31,6 @@ import codecs
 import re
 import struct
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -44,7 +43,7 @@ from sparktab.llm.huffman import in_runs
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS, CACHE_PAIRS = 150_000, 600_000
+CACHE_WORDS, CACHE_PAIRS, RUN_CACHED = 150_000, 600_000, 256
 TEXT_RUN = 4 << 20
 FAR = float("inf")
 
@@ -133,6 +132,8 @@ class Transducer:
         self.composed: tuple[str, list[int], list[int]] = ("", [-1], [-1])
         self.cache: dict[str, tuple[int, ...]] = {}  # paths of recent words; older: of those before
         self.older: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[int, list[int]] = {}  # pieces of short runs of meta symbols
+        self.run_pieces = {len(p): i for p, i in self.number.items() if set(p) == {META}}
         self.words = re.compile(f"{META}*[^{META}]+|{META}+")
 
     # --- order of merges
@@ -313,20 +314,25 @@ class Transducer:
             return self._run(run) + ids[1:]
         return self._run(run - 1) + ids
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one transducer lives as long as its worker
     def _run(self, n: int) -> list[int]:
-        """A run of meta symbols, merged from the left."""
+        """A run of meta symbols, merged from the left; in linear time, since a merge concerns only its neighbours."""
         if META not in self.number:
-            return [x for _ in range(n) for x in self._fallback(META)]
-        out, at = [], 0
-        symbols = [1] * n
-        while True:
-            at = next((i for i in range(len(symbols) - 1) if META * (symbols[i] + symbols[i + 1]) in self.number), -1)
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        out = [self.number[META * k] for k in symbols]
-        return out
+            return self._fallback(META) * n
+        if n > RUN_CACHED:
+            return self._merged_run(n)
+        if n not in self.runs:
+            self.runs[n] = self._merged_run(n)
+        return self.runs[n]
+
+    def _merged_run(self, n: int) -> list[int]:
+        pieces = self.run_pieces
+        out = []  # lengths of merged symbols; none of these can merge with its neighbour
+        for _ in range(n):
+            out.append(1)
+            while len(out) > 1 and out[-2] + out[-1] in pieces:
+                last = out.pop()
+                out[-1] += last
+        return [pieces[k] for k in out]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The pieces of each text. Words not met before are composed in order, next to those they share most with."""
