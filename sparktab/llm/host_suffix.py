@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,9 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Within an article only these can be marked.
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "fieldset", "figure", "details"}
 
-_PART = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
+_PART = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>"'<]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
+_TAG = re.compile(r"""</?[a-zA-Z][^\s/>"'<]*+""")
+_STOP = re.compile(r"""[>"']""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 #: White space of HTML and the spaces of Unicode.
@@ -82,6 +86,55 @@ def is_mark(name: str) -> bool:
     return not MARKS.isdisjoint(parts) and all(x in MARKS or x in FORMS for x in parts)
 
 
+class Markup:
+    """The parts of a page, one after another, in time linear in its length however broken it is.
+
+    A tag without an end would be looked for up to the end of the page, again for each such
+    tag. Where the text after a tag's name first meets a quote or its end decides whether the
+    tag ends; those places are kept when a tag did not, with all places on its way, and a
+    later tag that comes to one of them is text at once. As a quote either opens or closes,
+    ways that differ never meet: there are three at most.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.end = page, page.rfind(">") + 1
+        self.stops: list[int] | None = None
+        self.dead: set[int] = set()
+
+    def at(self, at: int):
+        """The part that begins here, None for a < that is known to begin no tag; its second group is None if it is no tag."""
+        page = self.page
+        if page[at] != "<":
+            return _PART.match(page, at)
+        if at >= self.end and not page.startswith("<!--", at):
+            return None
+        name = _TAG.match(page, at)
+        if name is None:
+            return _PART.match(page, at)
+        if self.stops is not None and bisect_left(self.stops, name.end()) in self.dead:
+            return None
+        part = _PART.match(page, at)
+        if part.group(2) is None:
+            self._remember(name.end())
+        return part
+
+    def _remember(self, at: int) -> None:
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOP.finditer(self.page)]
+        stops, page = self.stops, self.page
+        i = bisect_left(stops, at)
+        while i < len(stops):
+            self.dead.add(i)
+            quote = page[stops[i]]
+            i += 1
+            while i < len(stops) and page[stops[i]] != quote:
+                i += 1
+            if i == len(stops):
+                return
+            i += 1
+        self.dead.add(i)
+
+
 def page_blocks(page: str) -> list[tuple[str, int]]:
     """The blocks of a page in order, with their kind: KEPT (in an article, or without one in the main element), OPEN
     or OUT. An article or main element that is marked, or within a marked part, counts where no unmarked article does."""
@@ -89,6 +142,7 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
     text: list[str] = []
     stack: list[tuple[str, int | None]] = []  # open elements and the kind they set
     kinds = [OPEN]
+    opened, marks = Counter(), 0  # open elements by name; marked ones among kinds
 
     def close_block():
         if text:
@@ -97,9 +151,22 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                 out.append((whole, max(kinds[-1], OUT)))
             text.clear()
 
+    def close_element() -> str:
+        nonlocal marks
+        name, kind = stack.pop()
+        opened[name] -= 1
+        if kind is not None:
+            marks -= kinds.pop() == MARKED
+        return name
+
+    markup = Markup(page)
     at, n = 0, len(page)
     while at < n:
-        part = _PART.match(page, at)
+        part = markup.at(at)
+        if part is None:
+            text.append("<")
+            at += 1
+            continue
         at = part.end()
         name = part.group(2)
         if name is None:
@@ -110,14 +177,12 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
         if part.group(1):
             if name in INLINE and not any(t == name for t, _ in stack[-8:]):
                 continue
-            if any(t == name for t, _ in stack):
+            if opened[name]:
                 close_block() if name not in INLINE else None
                 while stack:
-                    opened, kind = stack.pop()
-                    if kind is not None:
+                    if stack[-1][1] is not None:
                         close_block()
-                        kinds.pop()
-                    if opened == name:
+                    if close_element() == name:
                         break
             elif name not in INLINE:
                 close_block()
@@ -127,16 +192,14 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             continue
         attributes = part.group(3)
         if name in RAW:
-            end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
+            end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at, markup.end)
             if not attributes.rstrip().endswith("/"):
                 at = end.end() if end else n
             continue
         if name not in INLINE:
             close_block()
             while stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                _, kind = stack.pop()
-                if kind is not None:
-                    kinds.pop()
+                close_element()
         if name in VOID or attributes.endswith("/"):
             continue
         kind = None
@@ -150,13 +213,15 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                 elif re.search(r"\bmain\b", named) and name in ("div", "section") and "role" in attributes.lower():
                     kind = LIKELY
             if name in MAIN and kind in (None, MARKED):
-                marked = kind == MARKED or MARKED in kinds
+                marked = kind == MARKED or marks > 0
                 kind = None if kinds[-1] == KEPT and not marked else MARKED if kinds[-1] == KEPT and kind == MARKED else LIKELY if marked else MAIN[name]
         if kind is not None:
             close_block()
             kinds.append(kind)
+            marks += kind == MARKED
         if kind is not None or name not in INLINE:
             stack.append((name, kind))
+            opened[name] += 1
     close_block()
     best = max((kind for _, kind in out), default=OPEN)
     if best <= OPEN:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -515,3 +516,35 @@ def test_blocks_share_the_shuffle(docs):
 def test_invalid_bytes_are_replaced_one_by_one():
     assert piece_fst._lenient(b"\xff" * 200_000) == "�" * 200_000
     assert piece_fst._lenient("aé☃".encode() + b"\xe2\x98" + b"z\x80") == "aé☃��z�"
+
+
+def test_broken_markup_takes_linear_time():
+    """Tags without an end, unclosed quotes and deep nesting: seconds would be hours if each looked to the page's end."""
+    for part in ("<a ", "<a", "<!", '<a "', "<a '\"", "<div>", "<script></script ", "<main class=ad>"):
+        for tail in ("", '">', ">", "</p>" * 50_000):
+            started = time.monotonic()
+            host_suffix.page_blocks(part * 100_000 + tail)
+            assert time.monotonic() - started < 20
+    assert host_suffix.page_blocks("<p>a <b <!-- x") == [("a <b", 0)]
+    assert host_suffix.page_blocks("<p>1 < 2 <i x='>y</p>") == [("1 < 2 <i x='>y", 0)]
+
+
+def test_runs_of_spaces():
+    """The merges of a run, leftmost first, whatever lengths are pieces; a million spaces are no matter."""
+
+    def by_definition(n, pieces):
+        symbols, at = [1] * n, 0
+        while at >= 0:
+            at = next((i for i in range(len(symbols) - 1) if symbols[i] + symbols[i + 1] in pieces), -1)
+            if at >= 0:
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return symbols
+
+    for lengths in ((1,), (1, 2), (1, 2, 3, 4, 8, 16), (1, 2, 4, 8), (1, 2, 3, 5, 6), (1, 3)):
+        model = piece_fst.Model(b"")
+        model.algorithm = piece_fst.BPE
+        model.pieces = [("<unk>", 0.0, piece_fst.UNKNOWN)] + [(piece_fst.META * k, -1.0, piece_fst.NORMAL) for k in lengths]
+        fst = piece_fst.Transducer(model)
+        for n in (1, 2, 3, 5, 17, 100, 300):
+            assert [len(fst.text_of[i]) for i in fst._run(n)] == by_definition(n, lengths)
+        assert sum(len(fst.text_of[i]) for i in fst._run(1_000_000)) == 1_000_000
