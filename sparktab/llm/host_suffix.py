@@ -55,6 +55,15 @@ MARKS = {
     "contentinfo", "disclaimer",
 }
 FORMS = {"site", "box", "widget", "links", "buttons", "list"}
+#: These marks also hold joined to PLACES (ad-slot, user-comments, related-posts), which others do not (section-header).
+PLAIN = {
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "comment", "comments", "share", "related",
+    "newsletter", "subscribe", "cookie", "cookies", "consent",
+}
+PLACES = {
+    "user", "users", "reader", "readers", "section", "slot", "unit", "area", "container", "wrapper", "block", "bar", "post",
+    "posts", "article", "articles", "stories", "thread", "form", "inline", "bottom", "top", "placeholder",
+}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Within an article only these can be marked.
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "fieldset", "figure", "details"}
@@ -82,8 +91,8 @@ def host_of(url: str | None) -> str:
 
 def is_mark(name: str) -> bool:
     """Whether a class, id or role marks a part outside the article: with-sidebar or related-work do not."""
-    parts = _WORD.findall(name)
-    return not MARKS.isdisjoint(parts) and all(x in MARKS or x in FORMS for x in parts)
+    parts = set(_WORD.findall(name))
+    return bool(parts & MARKS and parts <= MARKS | FORMS or parts & PLAIN and parts <= PLAIN | FORMS | PLACES)
 
 
 class Markup:

@@ -548,3 +548,12 @@ def test_runs_of_spaces():
         for n in (1, 2, 3, 5, 17, 100, 300):
             assert [len(fst.text_of[i]) for i in fst._run(n)] == by_definition(n, lengths)
         assert sum(len(fst.text_of[i]) for i in fst._run(1_000_000)) == 1_000_000
+
+
+def test_marks_joined_to_places():
+    for name in ("ad", "ad-slot", "user-comments", "comments-section", "related-posts", "share-bar", "site-footer", "newsletter_form"):
+        assert host_suffix.is_mark(name)
+        inside = f"<article><p>a</p><div class='{name}'><p>b</p></div><p>c</p></article>"
+        assert [t for t, kind in host_suffix.page_blocks(inside) if kind == host_suffix.KEPT] == ["a", "c"]
+    for name in ("section-header", "with-sidebar", "related-work", "post-section", "social-section", "top", "article", "notice-period", "adverb"):
+        assert not host_suffix.is_mark(name)
