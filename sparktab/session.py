@@ -42,6 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect what nothing refers to, upon which Spark deletes the shuffle files of finished jobs."""
+    spark._jvm.System.gc()
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the checkpoints of frames that no later job reads, and let Spark drop the shuffles of finished jobs.
 
@@ -56,7 +61,7 @@ def release(*frames: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     for spark in {df.sparkSession for df in frames}:
-        spark._jvm.System.gc()
+        drop_finished_shuffles(spark)
 
 
 def combine_single_rows(*frames: DataFrame) -> DataFrame:
