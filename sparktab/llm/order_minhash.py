@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from sparktab.llm import blocks, words
 from sparktab.llm.huffman import in_runs
-from sparktab.session import cut_lineage, release
+from sparktab.session import cut_lineage, drop_finished_shuffles, release
 
 SHINGLE, BANDS, TAKE, SIMILARITY = 5, 40, 8, 0.8
 SHORT, FEW_BANDS, FEW = 64, 16, 3
@@ -367,9 +367,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = drawn.select("seq_a", "seq_b", "node", "near", "keys").join(same, ["seq_a", "seq_b"]).where("node = rep")
     representatives = blocks.staged(found.where("size(keys) > 0").dropDuplicates(["node", "seq_a", "seq_b"]).select("node", "near", "keys"), "representatives")
     pairs = candidates(representatives)
+    drop_finished_shuffles(docs.sparkSession)  # those of the sketches, and of the jobs that made docs
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     with_node = rows.join(wanted.withColumnRenamed("node", "id"), "id").unionByName(_without_id(rows, wanted))
     sequences = blocks.staged(_sequences(with_node), "shingles")
+    drop_finished_shuffles(docs.sparkSession)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = cut_lineage(linked(first, sequences))
     joined = cut_lineage(components(sure))
