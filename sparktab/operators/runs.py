@@ -96,19 +96,22 @@ def list_runs(
     deletes: DataFrame,
     limit: int | None = None,
     algorithm: str | None = None,
+    oldest_first: bool = False,
 ) -> DataFrame:
-    """All runs, newest first, with an ``is_active`` flag; with a limit, the newest so many."""
+    """All runs, newest first, with an ``is_active`` flag; with a limit, the newest so many. Oldest first turns the
+    same runs round."""
     listed = live_runs(runs, deletes)
     if algorithm is not None:
         listed = listed.where(F.col("algorithm") == algorithm)
-    newest = listed if limit is None else listed.orderBy(F.desc("start_time"), F.desc("run_id")).limit(limit)
+    age = ["start_time", "run_id"]
+    newest = listed if limit is None else listed.orderBy(*[F.desc(c) for c in age]).limit(limit)
     # The pointer is one row.
     pointer = active_version(activations, deletes).select(
         F.col("version").alias("run_id"), F.lit(True).alias("_active")
     )
     return newest.join(F.broadcast(pointer), "run_id", "left").withColumn(
         "is_active", F.coalesce("_active", F.lit(False))
-    ).drop("_active").orderBy(F.desc("start_time"), F.desc("run_id"))
+    ).drop("_active").orderBy(*([F.asc(c) for c in age] if oldest_first else [F.desc(c) for c in age]))
 
 
 def metric_score(metric: str) -> Column:

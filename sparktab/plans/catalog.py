@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -382,6 +383,16 @@ def runs_list(spark, sf):
     return _entries(listed).join(flag, "run_id")
 
 
+@query
+def runs_oldest_first(spark, sf):
+    """The newest 50 runs as a listing gives them, oldest first, with their places."""
+    listed = runs.list_runs(
+        fx.runs_fixture(spark, sf), fx.run_activations(spark, sf), fx.run_deletes(spark, sf), limit=50, oldest_first=True
+    )
+    place = F.row_number().over(Window.orderBy("start_time", "run_id"))  # of at most 50 rows
+    return listed.select(place.alias("place"), "run_id", "is_active")
+
+
 @query
 def runs_by_algorithm(spark, sf):
     live = runs.live_runs(fx.runs_fixture(spark, sf), fx.run_deletes(spark, sf))

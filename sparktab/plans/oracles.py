@@ -389,6 +389,11 @@ ORACLES["runs_list"] = f"""
 WITH {RUNS}, {_ACTIVE}
 SELECT {_ENTRY}, COALESCE(run_id = (SELECT version FROM active), FALSE) AS is_active
 FROM live ORDER BY start_time DESC, run_id DESC"""
+ORACLES["runs_oldest_first"] = f"""
+WITH {RUNS}, {_ACTIVE}, newest AS (SELECT * FROM live ORDER BY start_time DESC, run_id DESC LIMIT 50)
+SELECT row_number() OVER (ORDER BY start_time, run_id) AS place, run_id,
+       COALESCE(run_id = (SELECT version FROM active), FALSE) AS is_active
+FROM newest"""
 ORACLES["runs_by_algorithm"] = f"""
 WITH {RUNS} SELECT {_ENTRY} FROM live WHERE algorithm = '2-HIGH'"""
 ORACLES["active_model"] = f"WITH {_ACTIVE} SELECT version FROM active"
