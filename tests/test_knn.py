@@ -80,3 +80,17 @@ def test_an_empty_index_can_be_stored(spark, tmp_path):
     knn.build_index(train.where("tid < 0")).save(str(tmp_path / "index"))
     index = knn.CellIndex.load(spark, str(tmp_path / "index"))
     assert knn.search(queries, index, 3).count() == 0
+
+
+def test_cells_of_fewer_rows_than_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS_PER_CELL", 2)
+    rng = np.random.default_rng(7)
+    t, q = np.round(rng.normal(size=(300, 2)) * 100, 1), np.round(rng.normal(size=(60, 2)) * 100, 1)
+    t[:9] = q[:9] = 1e6  # rounding of the product form is far more than the distances
+    t[:9, 0] += np.arange(9) * 1e-6
+    found = knn.nearest(*tables(spark, t, q), 7).collect()
+    assert {(r["qid"], r["rank"]): (r["tid"], r["distance"]) for r in found} == brute(t, q, 7)
+
+
+def test_a_task_holds_few_distances():
+    assert knn.GAPS_AT_ONCE * 8 <= 4 << 20
