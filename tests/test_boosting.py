@@ -123,3 +123,9 @@ def test_only_constants_give_one_leaf_a_tree(spark):
     model = boosting.fit_boosted(rows, {**P, "n_estimators": 2, "max_depth": 3}, 2, "id")
     assert [len(t[0]) for t in model.value("trees")] == [1, 1]
     assert model.value("trees")[0][4][0] < 0
+
+
+def test_few_values_are_counted_exactly(spark):
+    rows = spark.range(0, 5000, 1, 4).select(F.array((F.col("id") % 512).cast("double"), (F.col("id") % 513).cast("double"), F.col("id").cast("double"), F.lit(2.0)).alias("x"))
+    assert boosting.few_values(rows, 4, 512) == {0: list(range(512)), 3: [2.0]}
+    assert boosting.few_values(rows.where("false"), 1, 5) == {0: []}
