@@ -58,3 +58,20 @@ def test_three_classes_and_constant_features(spark):
     constant = df.select(array_to_vector(F.array(F.lit(1.0))).alias("features"), "label")
     with pytest.raises(ValueError, match="better than chance"):
         estimators.fit_adaboost(constant, 3, 3, 0.5)
+
+
+def test_rounds_read_packed_blocks(spark):
+    """A table of many rows is a few packed blocks, and checkpoints of the weights change nothing."""
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.standard_normal(3000), rng.integers(0, 9, 3000)], axis=1)
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.standard_normal(3000) > 1).astype(int)
+    df = spark.createDataFrame([(v.tolist(), float(c)) for v, c in zip(x, y)], "v array<double>, label double").select(array_to_vector("v").alias("features"), "label").coalesce(2)
+    cuts = estimators._quantile_cuts(df, 16)
+    blocks = estimators._stump_blocks(df, cuts)
+    assert blocks.count() == 2
+    ends, n = estimators._bin_ends(blocks, cuts)
+    assert n == 3000 and [e[0][1] for e in ends.values()] == x.min(axis=0).tolist() and [e[-1][2] for e in ends.values()] == x.max(axis=0).tolist()
+    got = estimators.fit_adaboost(df, 2, 12, 0.5, 16).value("stumps")
+    wanted = plain(x, y, 2, 12, 0.5)
+    assert [s[:4] for s in got] == [s[:4] for s in wanted]
+    assert np.allclose([s[4] for s in got], [s[4] for s in wanted])
