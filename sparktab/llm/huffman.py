@@ -19,8 +19,6 @@ gives empty files; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -44,11 +42,39 @@ IDS = "id long, n int, ids binary"
 CODED = "part int, id long, n int, marks binary, code binary"
 FILE = "part int, block int, first_token long, ids array<long>, n array<int>, sizes array<int>, marks binary, code binary"
 
-#: A space before anything but white space always starts a new piece in the tokenizer's own split.
-_CUT = re.compile(r"(?= \S)")
-_SPACES = re.compile(r" (?:\s|\Z)")
-#: So does a full stop or comma after a letter.
-_MARKED = re.compile(r".*[A-Za-z][.,]", re.DOTALL)
+#: Characters beyond ASCII that may be white space: their bytes as one number, and the first of these bytes.
+_WHITE = np.array([int.from_bytes(chr(c).encode().ljust(3, b"\0"), "big") for c in range(0x80, 0x10000) if chr(c).isspace() or c in (0x180E, 0x200B)])
+_LEADS = np.isin(np.arange(256), _WHITE >> 16)
+#: Letters of ASCII, and marks that end a run of letters without joining it.
+_LETTERS = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_MARKS = np.isin(np.arange(256), list(b".,!?;:%$"))
+#: Pieces that are encoded end to end.
+CHAIN = 4096
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start in texts that stand end to end, always where the tokenizer's own split starts one: at every text
+    that is not empty, a space before anything but white space, a mark after a letter, a letter after a lone line feed."""
+    starts = np.zeros(len(data), bool)
+    if not len(data):
+        return np.flatnonzero(starts)
+    starts[:-1] = (data[:-1] == 0x20) & (data[1:] > 0x20)
+    doubtful = np.flatnonzero(starts[:-1] & _LEADS[data[1:]])
+    if len(doubtful):
+        lead, second, third = (data[np.minimum(doubtful + i, len(data) - 1)].astype(np.int64) for i in (1, 2, 3))
+        starts[doubtful] = ~np.isin(lead << 16 | second << 8 | np.where(lead < 0xE0, 0, third), _WHITE)
+    # the bytes C3 80 to C3 BF are letters but for two signs
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter_before = _LETTERS[data[:-1]]
+    letter_before[1:] |= latin[:-1]
+    starts[1:] |= _MARKS[data[1:]] & letter_before
+    lone = (data[1:-1] == 0x0A) & (data[:-2] > 0x20) & (data[:-2] < 0x7F)
+    starts[2:] |= lone & (_LETTERS[data[2:]] | (data[2:] == 0xC3))
+    filled = offsets[1:] > offsets[:-1]
+    ends = offsets[1:][filled] - 1
+    starts[ends] &= data[ends] != 0x20
+    starts[offsets[:-1][filled]] = True
+    return np.flatnonzero(starts)
 
 
 class PieceEncoder:
@@ -60,42 +86,76 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {}  # of recent pieces; older: of those before
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # of recent pieces; older: of those before
+        self.older: dict[bytes, bytes] = {}
+        # Bytes of text that an id stands for: the model writes each byte as one character.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        sizes = {i: len(token) for token, i in vocabulary.items()}
+        sizes |= {i: len(token.content.encode()) for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.sizes = np.zeros(max(sizes, default=-1) + 1, np.int64)
+        self.sizes[list(sizes)] = list(sizes.values())
 
     @staticmethod
     def split(text: str) -> list[str]:
-        """The text cut before every space that white space does not follow."""
-        if "\0" in text or _SPACES.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def _recall(self, pieces: set[str]) -> list[str]:
-        """The pieces whose ids are not kept; those kept of older ones count as recent again."""
+        """The pieces of a text."""
+        raw = text.encode()
+        starts = piece_starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return [raw[low:high].decode() for low, high in zip(starts, [*starts[1:], len(raw)])]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces that start with a space before anything but white space remain the library's own pieces when they stand
+        end to end, others that start with no white space do so behind a line feed; the bytes of the tokens tell where each
+        one ends. The rest is encoded one by one."""
+        chained, alone = [], []
+        for p in pieces:
+            first = p[1:2] if p[0] == 0x20 else p[:1]
+            (chained if first > b" " and not _LEADS[first[0]] else alone).append(p)
+        for low in range(0, len(chained), CHAIN):
+            some = chained[low : low + CHAIN]
+            fed = np.fromiter((p[0] != 0x20 for p in some), bool, len(some))
+            text = b"".join([p if p[0] == 0x20 else b"\n" + p for p in some]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + fed)
+            upto = np.searchsorted(ends, wanted) + 1
+            first = np.concatenate([[0], upto[:-1]])
+            if ends[-1:] != wanted[-1:] or (ends[upto - 1] != wanted).any() or (self.sizes[ids[first[fed]]] != 1).any():
+                alone += some
+                continue
+            raw = ids.tobytes()
+            self.known.update((p, raw[a:b]) for p, a, b in zip(some, (4 * (first + fed)).tolist(), (4 * upto).tolist()))
+        for low in range(0, len(alone), CHAIN):
+            some = alone[low : low + CHAIN]
+            for piece, coded in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                self.known[piece] = np.array(coded.ids, "<u4").tobytes()
+
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces; kept ones that are used again count as recent."""
+        if len(self.known) > CACHE_PIECES:
+            self.older, self.known = self.known, {}
         known, older = self.known, self.older
         fresh = [p for p in pieces if p not in known]
         known.update((p, older[p]) for p in fresh if p in older)
-        return [p for p in fresh if p not in older]
-
-    def _learn(self, pieces: list[str]) -> None:
-        for low in range(0, len(pieces), 4096):
-            some = pieces[low : low + 4096]
-            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = coded.ids
-                self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        self._learn([p for p in fresh if p not in older] if older else fresh)
+        return list(map(known.__getitem__, pieces))
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each text has."""
+        data, offsets = words.buffer_of(texts)
+        starts = piece_starts(data, offsets)
+        borders = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), borders).dictionary_encode()
+        packed = self._packed(pieces.dictionary.to_pylist())
+        pool, size = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        place = pieces.indices.to_numpy()
+        n, first = size[place], (np.cumsum(size) - size)[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)]
+        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit numbers."""
-        split = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.older, self.known = self.known, {}
-        known = self.known
-        fresh = self._recall({p for pieces in split for p in pieces})
-        marked = [p for p in fresh if _MARKED.fullmatch(p)]
-        whole = set(fresh).difference(marked)
-        self._learn(self._recall(whole | {p[:-1] for p in marked} | {p[-1] for p in marked}))
-        known.update((p, known[p[:-1]] + known[p[-1]]) for p in marked)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        ids, counts = self.ids_of(pa.array(texts, pa.large_string()))
+        return [ids[high - n : high].tobytes() for n, high in zip(counts, np.cumsum(counts))]
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -131,8 +191,9 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, end
             text = batch.column("text")
             text = text.fill_null("") if text.null_count else text
             for low, high in in_runs(np.diff(words.buffer_of(text)[1]).tolist(), TEXT_RUN):
-                end = np.array([end_id], "<u4").tobytes()
-                packed = [np.frombuffer(x + end, "<u4") for x in encoder(text[low:high].to_pylist())]
+                ids, counts = encoder.ids_of(text[low:high])
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                packed = [ids[upto - n : upto] for n, upto in zip(counts, np.cumsum(counts))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id")[low:high],

@@ -197,6 +197,30 @@ def test_kept_pieces_give_the_tokenizers_ids(monkeypatch):
         assert encoder(made[low : low + 300]) == [np.array(x.ids, "<u4").tobytes() for x in whole]
 
 
+def test_new_pieces_go_through_the_library_together():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = huffman.PieceEncoder(file.read())
+    library, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    rng = np.random.default_rng(8)
+    parts = ["pas", "Été", "ç", "×", "÷", "3", "!!", ".", ",", ":", "$", " ", " ", "\n", "\n\n", "\t", "'ll", "\u00a0", "\u2003x", "\u201cq", "e\u0301", "\r\n", "日本", "<|endoftext|>"]
+    made = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)]
+    made += [f"w{i:x} " + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + ".\nÈp" for i in range(2000)]
+    for low in range(0, len(made), 500):
+        ids, counts = encoder.ids_of(pa.array(made[low : low + 500]))
+        wanted = [x.ids for x in library.encode_batch(made[low : low + 500], add_special_tokens=False)]
+        assert ids.tolist() == [i for x in wanted for i in x] and counts.tolist() == [len(x) for x in wanted]
+    given.clear()
+    encoder(["one two.\nThree; four"] * 2 + [f" new{i}" for i in range(1000)])
+    assert len(given) == 1
+    assert encoder.split("a pas.\nÈp, x  y") == ["a", " pas", ".\n", "Èp", ",", " x ", " y"]
+
 
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
