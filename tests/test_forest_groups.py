@@ -3,7 +3,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 
-from sparktab.operators import estimators
+from sparktab.operators import diagnostics, estimators, metrics
 
 
 def vectors(spark):
@@ -39,3 +39,31 @@ def test_groups_of_trees_vote_as_one_forest(spark, monkeypatch, tmp_path):
     assert again.select("probability").exceptAll(scored.select("probability")).count() == 0
     assert not estimators._random_forest(p).getCacheNodeIds()
     assert estimators._random_forest({**p, "max_depth": None}).getCacheNodeIds()
+
+
+def test_forests_of_a_sweep_share_their_trees(spark, monkeypatch):
+    df = vectors(spark).selectExpr("monotonically_increasing_id() as row_id", "cast(label as int) as target", "features", "label")
+    table = df.select("row_id", "target", vector_to_array("features")[0].alias("a"), vector_to_array("features")[1].alias("b"))
+    fitted = []
+    fit = diagnostics.ForestSplit.fit
+
+    def counted(self, params):
+        fitted.append((params["n_estimators"], params["max_depth"], params["random_state"]))
+        return fit(self, params)
+
+    monkeypatch.setattr(diagnostics.ForestSplit, "fit", counted)
+    found = diagnostics.bias_variance(table, "target", [4, 1, 2], [2, None], 42, "row_id").collect()
+    assert [(r["n_estimators"], r["max_depth"]) for r in found] == [(n, d) for n in (4, 1, 2) for d in ("2", "None")]
+    assert sorted(n for n, depth, _ in fitted if depth == 2) == [1, 1, 2] and len(set(fitted)) == 6
+    assert (1, 2, 42) in fitted and (1, None, 42) in fitted
+
+
+def test_staged_accuracies_are_those_of_the_joined_forests(spark, monkeypatch):
+    df = vectors(spark)
+    plain = [estimators.fit_classifier("random_forest", df, 2, {"n_estimators": n, "max_depth": 2, "random_state": n})[0] for n in (1, 2)]
+    monkeypatch.setattr(estimators, "FOREST_COUNTS", 1)
+    monkeypatch.setattr(estimators, "LEAST_TREES", 2)
+    stages = [*plain, estimators.fit_classifier("random_forest", df, 2, {"n_estimators": 3, "max_depth": 2, "random_state": 9})[0]]
+    joined = [stages[0], estimators.ForestGroups(stages[:2]), estimators.ForestGroups([*stages[:2], *stages[2].parts])]
+    wanted = [metrics.classification_metrics(forest.transform(df)).first()["accuracy"] for forest in joined]
+    assert diagnostics.staged_accuracies(stages, df) == wanted
