@@ -49,7 +49,7 @@ _LEADS = np.isin(np.arange(256), _WHITE >> 16)
 _LETTERS = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 _MARKS = np.isin(np.arange(256), list(b".,!?;:%$"))
 #: Pieces that are encoded end to end.
-CHAIN = 4096
+CHAIN = 256
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
