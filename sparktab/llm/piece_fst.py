@@ -17,8 +17,10 @@ from the order of merges along the right edge of the left piece and the left edg
 right piece. Runs of meta symbols, whose pieces share one rank in BPE models, are an arc of
 their own, taken greedily from the left as the merges do.
 
-A text is composed word by word, since no piece holds a meta symbol after another character;
-the paths of recent words are kept. A word is walked in time linear in its length.
+A text is composed word by word, since no piece holds a meta symbol after another character.
+The distinct words of a run of texts are composed together, place by place, as numpy arrays;
+long words, runs of meta symbols and the words of unigram models one by one. A word is walked in time linear in its length. Nothing is kept
+from run to run but whether pairs of pieces are stable, in a table of fixed size.
 
 Defined cases: a null or empty text has no pieces; a null id is kept; rows that repeat are
 documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -28,13 +30,13 @@ Model files whose normaliser has a character map are refused.
 from __future__ import annotations
 
 import codecs
-import re
 import struct
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sparktab.llm import blocks, words
@@ -43,8 +45,11 @@ from sparktab.llm.huffman import in_runs
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS, CACHE_PAIRS, RUN_CACHED = 150_000, 600_000, 256
-TEXT_RUN = 4 << 20
+CACHE_PAIRS, RUN_CACHED = 100_000, 256
+TEXT_RUN = 2 << 20
+#: Words longer than LONG are composed alone, others WORD_RUN at a time; JUDGED_BITS: of the places of judged pairs.
+LONG, WORD_RUN, JUDGED_BITS = 64, 1 << 15, 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 FAR = float("inf")
 
 ENCODED = "id long, n_pieces long, ids array<int>, decoded string, round_trip boolean"
@@ -103,8 +108,40 @@ class Model:
             raise ValueError("user-defined symbols are not supported")
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A place for each key among 2**bits."""
+    return (keys.astype(np.uint64) * _ODD >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Lookup:
+    """A table from distinct keys to numbers, asked for many keys at once; -1 stands for keys that it does not hold. Keys
+    whose place is taken are in a table of their own."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, len(keys).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        self.crowded = np.zeros(1 << self.bits, bool)
+        slots = _slots(keys, self.bits)
+        first = np.unique(slots, return_index=True)[1]
+        self.keys[slots[first]], self.values[slots[first]] = keys[first], values[first]
+        rest = np.ones(len(keys), bool)
+        rest[first] = False
+        self.crowded[slots[rest]] = True
+        self.rest = Lookup(keys[rest], values[rest]) if rest.any() else None
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slots = _slots(keys, self.bits)
+        same = self.keys[slots] == keys
+        out = np.where(same, self.values[slots], -1)
+        if self.rest:
+            more = np.flatnonzero(self.crowded[slots] & ~same)
+            if len(more):
+                out[more] = self.rest(keys[more])
+        return out
+
+
 class Transducer:
-    """A compiled model. encode() and decode() work on one text."""
+    """A compiled model. ids_of() and texts_of() work on many texts, decode() on one."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -130,11 +167,29 @@ class Transducer:
                 self.arcs.setdefault(piece[j:] if self.bpe else piece[:j], -1)
             self.arcs[piece] = i
         self.composed: tuple[str, list[int], list[int]] = ("", [-1], [-1])
-        self.cache: dict[str, tuple[int, ...]] = {}  # paths of recent words; older: of those before
-        self.older: dict[str, tuple[int, ...]] = {}
         self.runs: dict[int, list[int]] = {}  # pieces of short runs of meta symbols
         self.run_pieces = {len(p): i for p, i in self.number.items() if set(p) == {META}}
-        self.words = re.compile(f"{META}*[^{META}]+|{META}+")
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The tables for many words and ids at once: symbols are the characters of pieces, states the ends of pieces (the
+        first one of none), found by the symbol before; the bytes of each piece, and those it has at the start of a text."""
+        if self.bpe:
+            ends = [p for p in self.arcs if len(p) > 1]
+            symbols = sorted(set("".join(self.arcs)))
+            self.n_symbols = len(symbols) + 1
+            self.symbol_of = np.zeros(0x110000, np.int32)  # 0: in no piece
+            self.symbol_of[[ord(c) for c in symbols]] = np.arange(1, self.n_symbols)
+            self.symbol_of[0x20] = self.symbol_of[ord(META)]  # a space stands for it in the arrays
+            state = {p: k for k, p in enumerate(self.arcs, 1)}
+            self.piece_of = np.array([-1, *self.arcs.values()], np.int32)
+            self.first = np.array([0, *(state.get(c, 0) for c in symbols)], np.int32)
+            keys = np.array([state[p[1:]] * self.n_symbols + int(self.symbol_of[ord(p[0])]) for p in ends], np.int64)
+            self.longer = Lookup(keys, np.array([state[p] for p in ends], np.int32))
+            self.judged = np.full((2, 1 << JUDGED_BITS), -1, np.int64)  # pairs, and in the last bit whether they are stable
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.text_of)]
+        self.controls = np.array([k == CONTROL for k in self.kind_of], bool)
+        self.raw = pa.array(raw + [r.removeprefix(META.encode()) for r in raw], pa.large_binary())
 
     # --- order of merges
 
@@ -334,21 +389,135 @@ class Transducer:
                 out[-1] += last
         return [pieces[k] for k in out]
 
+    # --- many words at once
+
+    def _judge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """stable() of many pairs; nothing on the left (-1) is stable."""
+        keys = left.astype(np.int64) << 20 | right
+        held = self.judged[0][_slots(keys, JUDGED_BITS)]
+        other = np.flatnonzero(held >> 1 != keys)
+        if len(other):
+            held[other] = self.judged[1][_slots(~keys[other], JUDGED_BITS)]
+            new = other[held[other] >> 1 != keys[other]]
+            if len(new):
+                unknown, place = np.unique(keys[new], return_inverse=True)
+                fits = np.fromiter((k < 0 or self._stable(k >> 20, k & 0xFFFFF) for k in unknown.tolist()), bool, len(unknown))
+                judged = unknown << 1 | fits
+                held[new] = judged[place]
+                slots = _slots(unknown, JUDGED_BITS)
+                free = self.judged[0][slots] == -1
+                self.judged[0][slots[free]] = judged[free]
+                self.judged[1][_slots(~unknown[~free], JUDGED_BITS)] = judged[~free]
+        return (held & 1).astype(bool)
+
+    def _stable_paths(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_stable_path() of words whose characters stand end to end: all pieces, and how many each word has."""
+        symbols = self.symbol_of[points]
+        order = np.argsort(-sizes, kind="stable")
+        start, longest_first = (np.cumsum(sizes) - sizes)[order], -sizes[order]
+        last, width = np.full(len(symbols), -1, np.int32), np.ones(len(symbols), np.int64)
+        for j in range(-int(longest_first[0])):
+            end = start[: np.searchsorted(longest_first, -j)] + j  # the place in all words that have it
+            state = self.first[symbols[end]]
+            for d in range(j + 1):
+                piece = self.piece_of[state]
+                fits = piece >= 0
+                if d < j:
+                    some = np.flatnonzero(fits)
+                    fits[some] = self._judge(last[end[some] - d - 1], piece[some])
+                last[end[fits]], width[end[fits]] = piece[fits], d + 1
+                end, state = end[~fits], state[~fits]
+                if d == j or not len(end):
+                    break
+                state = self.longer(state.astype(np.int64) * self.n_symbols + symbols[end - d - 1])
+                end, state = end[state >= 0], state[state >= 0]
+        taken = np.zeros(len(symbols), bool)
+        at = start - longest_first - 1
+        while len(at):
+            taken[at] = True
+            at = at - width[at]
+            inside = at >= start
+            at, start = at[inside], start[inside]
+        ids, n = last[taken], np.ones(len(points), np.int64)
+        if (ids < 0).any():
+            chars, which = np.unique(points[taken][ids < 0], return_inverse=True)
+            pieces = [self._fallback(META if c == 0x20 else chr(c)) for c in chars.tolist()]
+            n[np.flatnonzero(taken)[ids < 0]] = np.array([len(p) for p in pieces])[which]
+            ids = np.repeat(ids, n[taken])
+            ids[ids < 0] = list(chain.from_iterable(pieces[k] for k in which.tolist()))
+        return ids, np.add.reduceat(n * taken, np.cumsum(sizes) - sizes)
+
+    def _paths(self, found: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of distinct words with spaces for meta symbols: a pool, and each word's first place and number."""
+        data, offsets = words.buffer_of(found)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        first, sizes = chars[:-1], np.diff(chars)
+        in_a_run = (sizes > 1) & (points[first] == 0x20) & (points[np.minimum(first + 1, len(points) - 1)] == 0x20)
+        plain = (sizes <= LONG) & ~in_a_run & self.bpe
+        pool, place, n = [], np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        total = 0
+        for low in range(0, len(sizes), WORD_RUN):
+            mine, size = plain[low : low + WORD_RUN], sizes[low : low + WORD_RUN]
+            if mine.any():
+                ids, counts = self._stable_paths(points[chars[low] : chars[low] + size.sum()][np.repeat(mine, size)], size[mine])
+                at = np.flatnonzero(mine) + low
+                place[at], n[at] = total + np.cumsum(counts) - counts, counts
+                pool.append(ids)
+                total += len(ids)
+        rest = np.flatnonzero(~plain)
+        alone = sorted((data[offsets[k] : offsets[k + 1]].tobytes().decode().replace(" ", META), k) for k in rest.tolist())
+        for word, k in alone:
+            ids = self.word(word)
+            place[k], n[k] = total, len(ids)
+            pool.append(np.array(ids, np.int32))
+            total += len(ids)
+        return np.concatenate(pool), place, n
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts, end to end, and how many each text has. Texts are as spaced() gives them."""
+        if self.model.squeeze:
+            texts = pa.array([" ".join(x for x in t.split(" ") if x) for t in texts.to_pylist()], pa.large_string())
+        if self.model.prefix:
+            empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+            texts = pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(space, texts, empty))
+        data, offsets = words.buffer_of(texts)
+        starts = data == 0x20
+        starts[1:] &= data[:-1] != 0x20
+        starts[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        starts = np.flatnonzero(starts)
+        borders = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), borders).dictionary_encode()
+        pool, place, size = self._paths(found.dictionary)
+        word = found.indices.to_numpy()
+        n, first = size[word], place[word]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)]
+        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The pieces of each text. Words not met before are composed in order, next to those they share most with."""
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        split = [self.words.findall(self.normalise(t)) for t in texts]
-        fresh = {w for found in split for w in found if w not in cache}
-        cache.update((w, older[w]) for w in fresh if w in older)
-        for word in sorted(w for w in fresh if w not in cache):
-            cache[word] = tuple(self.word(word))
-        out = [list(chain.from_iterable(map(cache.__getitem__, found))) for found in split]
-        for word in fresh:
-            if len(word) > 64:
-                del cache[word]
-        return out
+        """The pieces of each text."""
+        ids, counts = self.ids_of(spaced(pa.array(texts, pa.large_string())))
+        return [ids[upto - n : upto].tolist() for n, upto in zip(counts, np.cumsum(counts))]
+
+    def texts_of(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """decode() of sequences that stand end to end: their bytes side by side, if these are valid."""
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        if META in self.number and not self.controls[ids].any():
+            at = ids.astype(np.int64)
+            if self.model.prefix:
+                at[upto[:-1][counts > 0]] += len(self.text_of)
+            raw = self.raw.take(pa.array(at))
+            data, offsets = words.buffer_of(raw)
+            joined = [None, pa.py_buffer(offsets[upto]), pa.py_buffer(data)]
+            try:
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), joined).cast(pa.large_string())
+                return pc.replace_substring(texts, META, " ")
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(upto, upto[1:])], pa.large_string())
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of pieces; bytes that are no valid UTF-8 become replacement characters."""
@@ -397,6 +566,11 @@ def compiled(raw: bytes) -> Transducer:
     return _COMPILED[key]
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with spaces for meta symbols, which no encoding tells apart."""
+    return pc.replace_substring(texts.cast(pa.large_string()), META, " ")
+
+
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_pieces, ids, their decoded text, and whether that is the text again (with meta
     symbols read as spaces)."""
@@ -407,16 +581,16 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             text = batch.column("text")
             text = text.fill_null("") if text.null_count else text
             for low, high in in_runs(np.diff(words.buffer_of(text)[1]).tolist(), TEXT_RUN):
-                texts = text[low:high].to_pylist()
-                ids = fst.encode(texts)
-                decoded = [fst.decode(x) for x in ids]
-                same = [d == t.replace(META, " ") for d, t in zip(decoded, texts)]
+                texts = spaced(text[low:high])
+                ids, counts = fst.ids_of(texts)
+                decoded = fst.texts_of(ids, counts)
+                upto = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 columns = [
                     batch.column("id")[low:high],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array(decoded, pa.string()),
-                    pa.array(same, pa.bool_()),
+                    pa.array(counts),
+                    pa.ListArray.from_arrays(pa.array(upto), pa.array(ids, pa.int32())),
+                    decoded.cast(pa.string()),
+                    pc.equal(decoded, texts),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_pieces", "ids", "decoded", "round_trip"])
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -338,6 +339,29 @@ def test_piece_paths_equal_the_library(docs, empty, model):
     assert all(r.round_trip for r in found) and piece_fst.encode(empty, model).collect() == []
 
 
+def test_pieces_of_many_words_keep_nothing(model):
+    """Words of all kinds composed together give the library's ids, and what an encoder holds does not grow with them."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = np.random.default_rng(8)
+    alphabet = list("aeinrstuhdlc\né日😀▁,")
+    words_ = ["".join(rng.choice(alphabet, n)) for n in rng.integers(1, 12, 60_000)] + ["".join(rng.choice(alphabet[:12], n)) for n in (63, 64, 65, 300)]
+    some = [(" " * (k % 4 + 1)).join(words_[k : k + 100]) for k in range(0, len(words_), 100)] + ["", " ", "\n", "😀"]
+    fst = piece_fst.Transducer(piece_fst.Model(model))
+    fst.encode(some[:100])
+    tracemalloc.start()
+    ids, counts = fst.ids_of(piece_fst.spaced(pa.array(some, pa.large_string())))
+    decoded = fst.texts_of(ids, counts).to_pylist()
+    expected = library.encode(some, num_threads=1)
+    assert ids.tolist() == [x for e in expected for x in e] and counts.tolist() == [len(e) for e in expected]
+    assert decoded == [fst.decode(e) for e in expected] == [t.replace(piece_fst.META, " ") for t in some]
+    del ids, counts, decoded, expected
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2 << 20
+
+
 def test_unigram_paths_are_the_lightest():
     model = piece_fst.Model(b"")
     model.pieces = [("<unk>", 0.0, piece_fst.UNKNOWN)] + [(p, s, piece_fst.NORMAL) for p, s in (("▁", -2.0), ("a", -1.5), ("b", -2.5), ("ab", -2.2), ("▁a", -2.0), ("ba", -3.9))]
