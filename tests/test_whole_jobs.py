@@ -31,3 +31,9 @@ def catch(monkeypatch):
 def test_fits_have_the_default_work(catch, query):
     (_, _, algorithm, params), _ = catch(query, catalog, "_measured")
     assert estimators.resolve_parameters(algorithm, params) == estimators.DEFAULTS[algorithm]
+
+
+def test_seeds_have_the_default_forest(catch):
+    (_, target, seeds, params, _), _ = catch("seed_stability", diagnostics, "seed_scores")
+    assert seeds == list(range(10))
+    assert estimators.resolve_parameters("random_forest", params) == estimators.DEFAULTS["random_forest"]
