@@ -37,3 +37,23 @@ def test_seeds_have_the_default_forest(catch):
     (_, target, seeds, params, _), _ = catch("seed_stability", diagnostics, "seed_scores")
     assert seeds == list(range(10))
     assert estimators.resolve_parameters("random_forest", params) == estimators.DEFAULTS["random_forest"]
+
+
+def test_sequential_search_leaves_its_random_start(catch):
+    _, given = catch("tune_sequential", catalog, "_tuned")
+    request = catalog.workflows.TuneRequest("lines", **given)
+    assert request.n_trials == 20 > tuning.SequentialProposer.STARTUP
+    ranges = tuning.RANGE_SPACES["logistic_regression"]
+    assert {n: s for n, s in ranges.items() if n != "solver"} == given["search_space"]
+    scores = iter(range(request.n_trials))
+    densities = []
+
+    class Told(tuning.SequentialProposer):
+        def _density(self, s, seen, v):
+            densities.append(len(self.trials))
+            return super()._density(s, seen, v)
+
+    proposer = Told(given["search_space"])
+    for score in scores:
+        proposer.tell(proposer.ask(), score)
+    assert set(densities) == set(range(10, 20))
