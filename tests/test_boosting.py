@@ -129,3 +129,12 @@ def test_few_values_are_counted_exactly(spark):
     rows = spark.range(0, 5000, 1, 4).select(F.array((F.col("id") % 512).cast("double"), (F.col("id") % 513).cast("double"), F.col("id").cast("double"), F.lit(2.0)).alias("x"))
     assert boosting.few_values(rows, 4, 512) == {0: list(range(512)), 3: [2.0]}
     assert boosting.few_values(rows.where("false"), 1, 5) == {0: []}
+
+
+def test_sums_of_levels_are_added_by_the_driver_or_by_tasks(table, monkeypatch):
+    p = {**P, "n_estimators": 3, "max_depth": 3}
+    whole = boosting.fit_boosted(table, p, 3, "row_id").nodes()
+    monkeypatch.setattr(boosting, "DRIVER_BYTES", 0)
+    dealt = boosting.fit_boosted(table, p, 3, "row_id").nodes()
+    assert [n[:4] for n in whole] == [n[:4] for n in dealt]
+    assert np.allclose([n[6] for n in whole], [n[6] for n in dealt])
