@@ -75,3 +75,19 @@ def test_rounds_read_packed_blocks(spark):
     wanted = plain(x, y, 2, 12, 0.5)
     assert [s[:4] for s in got] == [s[:4] for s in wanted]
     assert np.allclose([s[4] for s in got], [s[4] for s in wanted])
+
+
+@pytest.mark.parametrize("parts", [2, 1 << 12])
+def test_bins_are_cut_again_until_no_part_can_hold_a_better_cut(spark, monkeypatch, parts):
+    """Values of all sizes and signs in two bins; sums added by the driver or by tasks."""
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.standard_normal(900) * 10.0 ** rng.integers(-9, 9, 900), rng.integers(-2, 3, 900) * 0.0], axis=1)
+    x[:3, 0] = [0.0, -0.0, 1e300]
+    y = (np.abs(x[:, 0]) > 3e-5).astype(int) ^ (rng.random(900) < 0.1)
+    df = spark.createDataFrame([(v.tolist(), float(c)) for v, c in zip(x, y)], "v array<double>, label double").select(array_to_vector("v").alias("features"), "label").repartition(3)
+    monkeypatch.setattr(estimators, "STUMP_PARTS", parts)
+    monkeypatch.setattr(estimators, "DRIVER_BYTES", 0 if parts == 2 else estimators.DRIVER_BYTES)
+    got = estimators.fit_adaboost(df, 2, 3, 0.5, 2).value("stumps")
+    wanted = plain(x, y, 2, 3, 0.5)
+    assert [s[:4] for s in got] == [s[:4] for s in wanted]
+    assert np.allclose([s[4] for s in got], [s[4] for s in wanted])
