@@ -73,3 +73,24 @@ def test_three_classes(spark, early):
     )
     model = networks.fit_network(df, 2, 3, {**P, "hidden_layer_sizes": (8,), "learning_rate_init": 0.1, "max_iter": 80, "early_stopping": early}, "id")
     assert model.transform(df).where("prediction = label").count() == 600
+
+
+def test_batches_are_jobs_over_their_own_partitions(spark, monkeypatch):
+    """Every epoch deals all partitions to its batches, and a batch reads no others."""
+    asked = []
+    whole = networks.summed
+
+    def counted(blocks, weights, sizes, with_gradient, partitions=None):
+        out = whole(blocks, weights, sizes, with_gradient, partitions)
+        if with_gradient:
+            asked.append((tuple(partitions), out[0], blocks.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(networks, "summed", counted)
+    networks.fit_network(rings(spark, 1000), 2, 2, {**P, "max_iter": 2, "early_stopping": False}, "id")
+    assert len(asked) == 2 * 5 and sum(n for _, n, _ in asked) == 2 * 1000
+    first, second = asked[:5], asked[5:]
+    for epoch in (first, second):
+        assert sorted(k for parts, *_ in epoch for k in parts) == list(range(epoch[0][2]))
+    assert {parts for parts, *_ in first} != {parts for parts, *_ in second}
+    assert networks.tasks_of_batch(10**7, 3000, 200) == 77 and networks.tasks_of_batch(10**7, 10**7, 200) == 16

@@ -27,7 +27,7 @@ def catch(monkeypatch):
     return run
 
 
-@pytest.mark.parametrize("query", ["fit_logistic", "fit_gbt", "fit_adaboost"])
+@pytest.mark.parametrize("query", ["fit_logistic", "fit_gbt", "fit_adaboost", "fit_mlp"])
 def test_fits_have_the_default_work(catch, query):
     (_, _, algorithm, params), _ = catch(query, catalog, "_measured")
     assert estimators.resolve_parameters(algorithm, params) == estimators.DEFAULTS[algorithm]
