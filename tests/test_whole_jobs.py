@@ -4,6 +4,7 @@ import pytest
 
 from sparktab.operators import diagnostics, estimators, tuning
 from sparktab.plans import catalog
+from sparktab.plans.oracles import ORACLES
 
 
 class Caught(Exception):
@@ -57,3 +58,9 @@ def test_sequential_search_leaves_its_random_start(catch):
     for score in scores:
         proposer.tell(proposer.ask(), score)
     assert set(densities) == set(range(10, 20))
+
+
+def test_the_grid_of_the_analysis_is_whole(catch):
+    (_, _, sizes, depths, *_), _ = catch("bias_variance", diagnostics, "bias_variance")
+    assert sizes == [50, 200, 500] and depths == [None, 5, 10]
+    assert "(50), (200), (500)" in ORACLES["bias_variance"]
